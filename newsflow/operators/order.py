@@ -15,13 +15,16 @@ CHUNK = "_chunk"
 EXACT_ROWS = 100_000
 
 
-def ordered_chunks(df: DataFrame, order: Sequence[str]) -> DataFrame:
+def ordered_chunks(df: DataFrame, order: Sequence[str], parts: int | None = None) -> DataFrame:
     """Add `_chunk`, a number that grows with `order`, with about the same number of rows in each chunk.
 
+    `parts` is the number of chunks; by default the session's shuffle partitions, merged by AQE when small.
+
     Range partitioning samples the keys, so the chunks are even for any distribution as long as `order` ends
     in a unique column. The ranged rows are checkpointed: a second pass must see the same borders.
     """
-    ranged = cut_lineage(df.repartitionByRange(*[F.col(c) for c in order]))
+    columns = [F.col(c) for c in order]
+    ranged = cut_lineage(df.repartitionByRange(parts, *columns) if parts else df.repartitionByRange(*columns))
     return ranged.withColumn(CHUNK, F.spark_partition_id())
 
 
