@@ -1 +1,8 @@
+"""Registered queries and their SQL forms."""
 
+
+def load():
+    """(queries, oracles) by name."""
+    from newsflow.registry import base, text_queries  # noqa: F401
+
+    return base.QUERIES, base.ORACLES
