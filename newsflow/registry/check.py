@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import math
 import sys
+import threading
 import time
 
+# Seconds a query or its SQL may take here.
+LIMIT = 60
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
           "conversations").split()
 
@@ -38,14 +41,20 @@ def table_of(columns, rows):
 def compare(spark, con, name, sf_dir, query, sql):
     """(matches, message) of one query."""
     start = time.time()
+    timer = threading.Timer(LIMIT, spark.sparkContext.cancelAllJobs)
+    timer.start()
     df = query(spark, sf_dir)
     got = table_of(df.columns, [tuple(r) for r in df.collect()])
+    timer.cancel()
     spent = time.time() - start
     if sql is None:
         return True, f"{name}: {len(got[1])} rows, no SQL, {spent:.1f}s"
     start = time.time()
+    timer = threading.Timer(LIMIT, con.interrupt)
+    timer.start()
     cursor = con.execute(sql)
     want = table_of([d[0] for d in cursor.description], cursor.fetchall())
+    timer.cancel()
     sql_spent = time.time() - start
     if got[0] != want[0]:
         return False, f"{name}: columns {got[0]} vs {want[0]}"
@@ -61,6 +70,7 @@ def main(sf_dir: str, *names: str) -> int:
     from newsflow.session import build_session
 
     spark = build_session("check", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false",
+                                                   "spark.ui.showConsoleProgress": "false",
                                                    "spark.driver.memory": "8g"})
     spark.sparkContext.setLogLevel("ERROR")
     queries, oracles = load()

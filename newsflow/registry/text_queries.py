@@ -29,12 +29,14 @@ def sql_lexicon_score(lexicon: str) -> str:
 lex AS (SELECT keyword, weight, replace(keyword, '-', ' ') AS form,
   list_filter(string_split(replace(keyword, '-', ' '), ' '), lambda p: p <> '') AS parts,
   (contains(keyword, ' ') OR contains(keyword, '-')) AS is_phrase FROM {lexicon}),
-phrases AS (SELECT *, CASE WHEN len(parts) >= 2 THEN '(?:^|[^\p{{L}}\p{{N}}_])' || array_to_string(parts,
-  '(?:[^\p{{L}}\p{{N}}_\n]|[^\p{{L}}\p{{N}}_\n][^\n]*?[^\p{{L}}\p{{N}}_\n])') || '(?:[^\p{{L}}\p{{N}}_]|$)' END AS pattern
+phrases AS (SELECT *, CASE WHEN len(parts) >= 2 THEN '% ' || replace(array_to_string(parts, ' % '), '_', '\_') || ' %' END AS pattern
   FROM lex WHERE is_phrase),
-found AS (SELECT id, form, weight FROM v_text JOIN phrases
-  ON contains(low, parts[1]) AND contains(low, parts[-1]) AND (contains(low, form) OR
-     (pattern IS NOT NULL AND regexp_matches(low, pattern)))),
+spaced AS (SELECT id, '  ' || regexp_replace(unnest(string_split(low, chr(10))), '[^\p{{L}}\p{{N}}_]+', '  ', 'g') || '  ' AS line FROM v_text),
+found AS (SELECT DISTINCT id, keyword, form, weight FROM (
+  SELECT id, keyword, form, weight FROM v_text JOIN phrases ON contains(low, form)
+  UNION ALL
+  SELECT id, keyword, form, weight FROM spaced JOIN phrases
+  ON contains(line, parts[1]) AND contains(line, parts[-1]) AND line LIKE pattern ESCAPE '\')),
 tok AS (SELECT id, w, count(*) AS n FROM (
   SELECT id, unnest(regexp_extract_all(low, '[\p{{L}}\p{{N}}_]+')) AS w FROM v_text WHERE low IS NOT NULL) GROUP BY 1, 2),
 hit AS (SELECT tok.id, tok.w, tok.n, coalesce(a.weight, b.weight) AS weight FROM tok
@@ -44,7 +46,7 @@ hit AS (SELECT tok.id, tok.w, tok.n, coalesce(a.weight, b.weight) AS weight FROM
     AND NOT EXISTS (SELECT 1 FROM found f WHERE f.id = tok.id AND contains(f.form, tok.w))),
 sums AS (SELECT id, sum(s) / sum(n) AS mean FROM (
   SELECT id, weight AS s, 1 AS n FROM found UNION ALL SELECT id, weight * n, n FROM hit) GROUP BY id),
-v_kw AS (SELECT v_text.id, CASE WHEN low IS NOT NULL THEN coalesce(greatest(-3.0, least(3.0, mean)), 0.0) END AS kw
+v_kw AS (SELECT v_text.id, CASE WHEN low IS NOT NULL THEN CASE WHEN mean IS NULL THEN 0.0 ELSE greatest(-3.0, least(3.0, mean)) END END AS kw
   FROM v_text LEFT JOIN sums ON sums.id = v_text.id)"""
 
 
@@ -85,9 +87,9 @@ v_conf AS (SELECT *, CASE WHEN conf IS NOT NULL THEN CASE WHEN conf >= CASE WHEN
 # Documents scored without models. Articles in Spanish are left unscored, those in French have an outcome.
 V_SCORED = V_KW + "," + sql_confidence("0", "0", "0") + """,
 v_scored AS (SELECT id, ticker, dt, headline, lang, n_chars,
-  CASE WHEN lang <> 'es' THEN round(combined, 6) END AS sentiment_combined,
+  CASE WHEN lang <> 'es' THEN round(combined, 9) END AS sentiment_combined,
   CASE WHEN lang <> 'es' THEN label END AS sentiment_category,
-  CASE WHEN lang <> 'es' THEN round(conf, 6) END AS ml_confidence,
+  CASE WHEN lang <> 'es' THEN round(conf, 9) END AS ml_confidence,
   CASE WHEN lang = 'fr' THEN 0.0 END AS pct_change_eod, n_chars / 100.0::DOUBLE AS vix_close FROM v_conf)"""
 
 
@@ -97,9 +99,9 @@ def scored_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = F.col("lang") != "es"
     return done.select(
         "id", "ticker", "datetime", "headline", "url", "lang", "n_chars",
-        F.when(kept, F.round("sentiment_combined", 6)).alias("sentiment_combined"),
+        F.when(kept, F.round("sentiment_combined", 9)).alias("sentiment_combined"),
         F.when(kept, F.col("sentiment_category")).alias("sentiment_category"),
-        F.when(kept, F.round("ml_confidence", 6)).alias("ml_confidence"),
+        F.when(kept, F.round("ml_confidence", 9)).alias("ml_confidence"),
         F.when(F.col("lang") == "fr", 0.0).alias("pct_change_eod"), (F.col("n_chars") / 100.0).alias("vix_close"),
     )
 
@@ -110,16 +112,17 @@ def with_text(df: DataFrame) -> DataFrame:
 
 # --- queries ----------------------------------------------------------------------------------------------------
 
-@query("q_lexicon_score", f"WITH {V_KW} SELECT id, round(kw, 6) AS score FROM v_kw")
+@query("q_lexicon_score", f"WITH {V_KW} SELECT id, round(kw, 9) AS score FROM v_kw")
 def lexicon_score(spark, sf_dir):
     scored = with_lexicon_score(with_text(views.articles(spark, sf_dir)), "full_text", LEXICON, out="score")
-    return scored.select("id", F.round("score", 6).alias("score"))
+    return scored.select("id", F.round("score", 9).alias("score"))
 
 
 # A lexicon that grows with the documents: the first two words of each text, polarity and strength from its labels.
 V_GROWN = r"""
 v_lines AS (
-  SELECT lower(regexp_replace(array_to_string(regexp_extract_all(text, '[\p{L}\p{N}_]+')[1:2], CASE WHEN doc_id % 2 = 0 THEN ' ' ELSE '-' END), '^\s+|\s+$', '', 'g')) AS keyword,
+  SELECT lower(CASE WHEN doc_id % 2 = 0 THEN array_to_string(regexp_extract_all(text, '[\p{L}\p{N}_]+')[1:2], ' ')
+    ELSE array_to_string(regexp_extract_all(text, '[\p{L}\p{N}_]+')[1:2], '-') END) AS keyword,
     CASE WHEN toxic = 1 THEN 'neutral' WHEN quality = 1 THEN 'Positive ' ELSE 'negative' END AS sentiment,
     CASE WHEN n_chars % 4 > 0 THEN CAST(n_chars % 4 AS DOUBLE) END AS strength, doc_id AS line
   FROM documents JOIN labels USING (doc_id)
@@ -151,21 +154,21 @@ def lexicon_load(spark, sf_dir):
     return rounded(grown_lexicon(spark, sf_dir), {"weight": 6})
 
 
-@query("q_lexicon_score_grown", f"WITH {V_TEXT},{V_GROWN},{sql_lexicon_score('v_grown')} SELECT id, round(kw, 5) AS score FROM v_kw")
+@query("q_lexicon_score_grown", f"WITH {V_TEXT},{V_GROWN},{sql_lexicon_score('v_grown')} SELECT id, round(kw, 9) AS score FROM v_kw")
 def lexicon_score_grown(spark, sf_dir):
     # The lexicon grows with the data, so it is joined and never written into the plan.
     scored = with_lexicon_score(
         with_text(views.articles(spark, sf_dir)), "full_text", grown_lexicon(spark, sf_dir), out="score", limit=0)
-    return scored.select("id", F.round("score", 5).alias("score"))
+    return scored.select("id", F.round("score", 9).alias("score"))
 
 
 @query("q_lexicon_hits", rf"""WITH {V_TEXT}, {views.sql_lexicon()},
-lex AS (SELECT keyword, weight, string_split(replace(keyword, '-', ' '), ' ') AS parts,
-  (contains(keyword, ' ') OR contains(keyword, '-')) AS is_phrase FROM v_lexicon),
-pat AS (SELECT *, CASE WHEN is_phrase THEN '(?:^|[^\p{{L}}\p{{N}}_])' || array_to_string(parts,
-  '(?:[^\p{{L}}\p{{N}}_\n]|[^\p{{L}}\p{{N}}_\n][^\n]*?[^\p{{L}}\p{{N}}_\n])') || '(?:[^\p{{L}}\p{{N}}_]|$)' END AS pattern FROM lex)
-SELECT id, keyword, weight FROM v_text JOIN pat ON contains(low, parts[1]) AND contains(low, parts[-1])
-  AND (NOT is_phrase OR regexp_matches(low, pattern))""")
+lex AS (SELECT keyword, weight, (contains(keyword, ' ') OR contains(keyword, '-')) AS is_phrase,
+  '% ' || replace(replace(keyword, '-', ' '), ' ', ' % ') || ' %' AS pattern, string_split(replace(keyword, '-', ' '), ' ') AS parts FROM v_lexicon),
+spaced AS (SELECT id, '  ' || regexp_replace(unnest(string_split(low, chr(10))), '[^\p{{L}}\p{{N}}_]+', '  ', 'g') || '  ' AS line FROM v_text)
+SELECT id, keyword, weight FROM v_text JOIN lex ON NOT is_phrase AND contains(low, keyword)
+UNION
+SELECT id, keyword, weight FROM spaced JOIN lex ON is_phrase AND contains(line, parts[1]) AND contains(line, parts[-1]) AND line LIKE pattern""")
 def lexicon_hits(spark, sf_dir):
     hits = with_lexicon_hits(with_text(views.articles(spark, sf_dir)), "full_text", LEXICON)
     return hits.select("id", F.explode("hits").alias("h")).select("id", "h.keyword", "h.weight")
@@ -193,22 +196,22 @@ CLASSIFIER = "((n_chars * 3) % 101 - 50) / 50.0::DOUBLE"
 
 
 @query("q_sentiment_confidence", f"""WITH {V_KW}, {sql_confidence(MODEL, VADER, CLASSIFIER)}
-  SELECT id, round(combined, 6) AS combined, round(conf, 6) AS confidence, label FROM v_conf""")
+  SELECT id, round(combined, 9) AS combined, round(conf, 9) AS confidence, label FROM v_conf""")
 def sentiment_confidence(spark, sf_dir):
     n = F.col("n_chars")
     scored = score_columns(
         with_text(views.articles(spark, sf_dir)), "full_text", LEXICON, ((n * 7) % 201 - 100) / 100.0,
         ((n * 13) % 201 - 100) / 100.0, ((n * 3) % 101 - 50) / 50.0)
-    return scored.select("id", F.round("_combined", 6).alias("combined"), F.round("_confidence", 6).alias("confidence"),
+    return scored.select("id", F.round("_combined", 9).alias("combined"), F.round("_confidence", 9).alias("confidence"),
                          F.col("_label").alias("label"))
 
 
 @query("q_scoring_job", f"""WITH {V_KW}, {sql_confidence("0", "0", "0")}
   SELECT id, CASE WHEN lang = 'es' THEN 0.5 ELSE 0.0 END AS sentiment_ml,
-    CASE WHEN lang = 'es' THEN NULL ELSE round(kw, 6) END AS sentiment_keyword,
-    CASE WHEN lang = 'es' THEN 0.25 ELSE round(combined, 6) END AS sentiment_combined,
+    CASE WHEN lang = 'es' THEN NULL ELSE round(kw, 9) END AS sentiment_keyword,
+    CASE WHEN lang = 'es' THEN 0.25 ELSE round(combined, 9) END AS sentiment_combined,
     CASE WHEN lang = 'es' THEN 'Signal' ELSE label END AS sentiment_category,
-    CASE WHEN lang = 'es' THEN 0.9 ELSE round(conf, 6) END AS ml_confidence FROM v_conf""")
+    CASE WHEN lang = 'es' THEN 0.9 ELSE round(conf, 9) END AS ml_confidence FROM v_conf""")
 def scoring_job(spark, sf_dir):
     # Articles in Spanish have been scored before and must keep their values.
     es = F.col("lang") == "es"
@@ -217,7 +220,7 @@ def scoring_job(spark, sf_dir):
         "sentiment_category": F.when(es, "Signal"), "ml_confidence": F.when(es, 0.9)})
     done = score_articles(docs, LEXICON)
     names = ("sentiment_ml", "sentiment_keyword", "sentiment_combined", "ml_confidence")
-    return rounded(done.select("id", "sentiment_category", *names), {c: 6 for c in names})
+    return rounded(done.select("id", "sentiment_category", *names), {c: 9 for c in names})
 
 
 class LengthScorer:
