@@ -13,9 +13,13 @@ CONFIDENCE_THRESHOLD = 0.40
 MODEL_THRESHOLD = 0.6
 
 
+# White space of Unicode.
+WHITE_SPACE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(col: Column) -> Column:
     """Trim Unicode white space at both ends."""
-    return F.regexp_replace(col, r"(?U)^\s+|\s+$", "")
+    return F.btrim(col, F.lit(WHITE_SPACE))
 
 
 def full_text(headline: Column, body: Column) -> Column:

@@ -16,3 +16,12 @@ def computed(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     keep = [c for c in df.columns if c not in columns]
     made = F.inline(F.array(F.struct(*[value.alias(name) for name, value in columns.items()])))
     return df.select(*keep, made)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give costly work at least one task per core when a small input would be read by fewer.
+
+    Large inputs have more tasks than cores and are left as they are, so nothing is shuffled at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if not df.isStreaming and df.rdd.getNumPartitions() < cores else df

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from newsflow.functions import text as tx
 from newsflow.operators.lexicon import with_lexicon_hits, with_lexicon_score
+from newsflow.operators.stage import spread
 from newsflow.plans import report
 from newsflow.plans.scoring import category_share, score_articles, score_columns
 from newsflow.registry import views
@@ -107,7 +108,7 @@ def scored_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def with_text(df: DataFrame) -> DataFrame:
-    return df.withColumn("full_text", tx.full_text(F.col("headline"), F.col("text")))
+    return spread(df).withColumn("full_text", tx.full_text(F.col("headline"), F.col("text")))
 
 
 # --- queries ----------------------------------------------------------------------------------------------------

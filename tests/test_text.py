@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from newsflow.functions import text as tx
 from newsflow.functions.lexicon_data import FINANCE_LEXICON, parse
-from newsflow.operators.lexicon import Lexicon, with_lexicon_hits, with_lexicon_score
+from newsflow.operators.lexicon import with_lexicon_hits, with_lexicon_score
 
 FINANCE = sorted((k, (1 if p == "positive" else -1) * s) for k, p, s in parse(FINANCE_LEXICON))
 
@@ -82,8 +82,11 @@ def test_hits_for_audit(spark):
     assert empty == []
 
 
-def test_word_pattern_without_words():
-    assert Lexicon([("a b", 1.0)]).word_pattern() is None
+@pytest.mark.parametrize("entries", [[("good news", 1.0)], [("good", 1.0)], []])
+def test_one_sided_lexicons(spark, entries):
+    df = spark.createDataFrame([(1, "good news")], "id long, text string")
+    want = 1.0 if entries else 0.0
+    assert with_lexicon_score(df, "text", entries, out="s").first()["s"] == want
 
 
 # model, lexicon, question, vader, classifier -> combined, confidence, label
