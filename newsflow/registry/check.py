@@ -8,7 +8,7 @@ import threading
 import time
 
 # Seconds a query or its SQL may take here.
-LIMIT = 60
+LIMIT = 45
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
           "conversations").split()
 

@@ -26,12 +26,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return articles_of(table(spark, sf_dir, "documents"))
+
+
+def articles_of(documents: DataFrame) -> DataFrame:
     """Documents as news: the first line is the headline, the other lines are the body."""
     head = F.substring_index("text", "\n", 1)
     n = F.col("doc_id")
     hours = (n % 1000) * 57
     at = F.timestamp_seconds(F.unix_seconds(F.lit("1995-02-01 00:00:00").cast("timestamp")) + hours * 3600 + (n % 1440) * 60)
-    return table(spark, sf_dir, "documents").select(
+    return documents.select(
         n.alias("id"), (F.lit(1) + n % 5).cast("string").alias("ticker"), at.alias("datetime"), head.alias("headline"),
         F.concat(F.lit("https://x/"), n.cast("string")).alias("url"),
         F.substring(F.col("text"), F.length(head) + 2, F.length("text")).alias("text"), "lang", "n_chars",
@@ -72,12 +76,12 @@ def index_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Average order price by working day: stands for the market index."""
     o = table(spark, sf_dir, "orders")
     day = F.to_date("o_orderdate")
-    return o.where(F.weekday(day) < 5).groupBy(day.alias("date")).agg(F.round(F.avg("o_totalprice"), 2).alias("close"))
+    return o.where(F.weekday(day) < 5).groupBy(day.alias("date")).agg(F.avg("o_totalprice").alias("close"))
 
 
 V_INDEX = """
 v_index AS (
-  SELECT CAST(o_orderdate AS DATE) AS date, round(avg(o_totalprice), 2) AS close
+  SELECT CAST(o_orderdate AS DATE) AS date, avg(o_totalprice) AS close
   FROM orders WHERE isodow(CAST(o_orderdate AS DATE)) < 6 GROUP BY 1)"""
 
 
@@ -85,24 +89,25 @@ def vix_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spread of discounts by working ship day: stands for the volatility index."""
     li = table(spark, sf_dir, "lineitem")
     day = F.to_date("l_shipdate")
-    spread = F.round(F.stddev_samp("l_discount") * 100, 4)
+    spread = F.stddev_samp("l_discount") * 100
     return li.where(F.weekday(day) < 5).groupBy(day.alias("date")).agg(spread.alias("close")).where("close is not null")
 
 
 V_VIX = """
 v_vix AS (
   SELECT date, close FROM (
-    SELECT CAST(l_shipdate AS DATE) AS date, round(stddev_samp(l_discount) * 100, 4) AS close
+    SELECT CAST(l_shipdate AS DATE) AS date, stddev_samp(l_discount) * 100 AS close
     FROM lineitem WHERE isodow(CAST(l_shipdate AS DATE)) < 6 GROUP BY 1) WHERE close IS NOT NULL)"""
 
 
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").where("event_type = 'view'").select("ts", F.col("value").alias("close"))
+    return table(spark, sf_dir, "events").where("event_type = 'view'").select(
+        F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("close"))
 
 
 def tick_news(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").where("event_type = 'signup'").select(
-        F.col("event_id").alias("id"), F.col("ts").alias("datetime"))
+        F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("datetime"))
 
 
 V_TICKS = """
