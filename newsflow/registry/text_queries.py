@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import sys
+
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -224,6 +227,9 @@ def scoring_job(spark, sf_dir):
     return rounded(done.select("id", "sentiment_category", *names), {c: 9 for c in names})
 
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # the scorer below travels with its task
+
+
 class LengthScorer:
     """Deterministic stand-in for a language model: scores by text length."""
 
