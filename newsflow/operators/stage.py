@@ -18,10 +18,18 @@ def computed(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return df.select(*keep, made)
 
 
+# Input per core below which a scan gives some cores nothing to do.
+SMALL_PER_CORE = 16 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Give costly work at least one task per core when a small input would be read by fewer.
+    """Give costly work at least one task per core when the input is small.
 
-    Large inputs have more tasks than cores and are left as they are, so nothing is shuffled at scale.
+    The estimated size of the plan decides, so nothing is run for it. A large input has more tasks than cores
+    and is left as it is: nothing is shuffled at scale.
     """
+    if df.isStreaming:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if not df.isStreaming and df.rdd.getNumPartitions() < cores else df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * SMALL_PER_CORE else df

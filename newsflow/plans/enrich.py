@@ -57,29 +57,48 @@ def daily_indicators(bars: DataFrame, as_of: dt.date | str, min_bars: int = 15)
     return densify(table, ["ticker"], "date", [*BARS, *INDICATORS], F.date_add(lit_date(as_of), 1))
 
 
-def enrich_prices(
-    articles: DataFrame, daily: DataFrame, target_rows: int = skew.TARGET_ROWS,
-) -> DataFrame:
-    """Fill price and indicator columns of unpriced articles from the daily row of their ticker and Eastern day.
-
-    One left join on (ticker, day); days with very many articles are split. Articles without a daily row, and
-    those already priced, keep what they have. A NULL in the daily row overwrites.
-    """
-    prices = {c: PRICE[c] for c in ("price_close", "price_open", "price_high", "price_low", "volume")}
-    table = ensure_columns(articles, {**prices, **INDICATOR_TYPES})
-    names = table.columns
-    pending = F.when(is_unpriced(), F.col("ticker"))
-    keyed = table.withColumns({"_tk": price_ticker(pending), "_day": temporal.market_date(F.col("datetime"))})
+def _with_daily(pending: DataFrame, daily: DataFrame, how: str, target_rows: int) -> tuple[DataFrame, dict[str, Column]]:
+    """Rows joined to the daily row of their ticker and Eastern day, and the columns that gives."""
+    keyed = pending.withColumns({"_tk": price_ticker(F.col("_ticker")), "_day": temporal.market_date(F.col("datetime"))})
     right = daily.select(
         F.col("ticker").alias("_tk"), F.col("date").alias("_day"), F.lit(True).alias("_hit"),
         *[F.col(c).alias(f"_d_{c}") for c in (*BARS, *INDICATORS)],
     )
-    joined = skew.salted_join(keyed, right, ["_tk", "_day"], ["id"], "left", target_rows)
     new = {
         "price_close": F.col("_d_close"), "price_open": F.col("_d_open"), "price_high": F.col("_d_high"),
         "price_low": F.col("_d_low"), "volume": F.col("_d_volume").cast("bigint"),
         **{c: F.col(f"_d_{c}") for c in INDICATORS},
     }
+    return skew.salted_join(keyed, right, ["_tk", "_day"], ["id"], how, target_rows), new
+
+
+def _priceable(articles: DataFrame) -> DataFrame:
+    prices = {c: PRICE[c] for c in ("price_close", "price_open", "price_high", "price_low", "volume")}
+    return ensure_columns(articles, {**prices, **INDICATOR_TYPES})
+
+
+def price_updates(articles: DataFrame, daily: DataFrame, target_rows: int = skew.TARGET_ROWS) -> DataFrame:
+    """Price record (id and twelve columns) of each unpriced article that has a daily row.
+
+    Only id, ticker, time and two price columns are read and shuffled, never the text. The record can be
+    merged into the table, or kept beside it.
+    """
+    pending = _priceable(articles).where(is_unpriced()).select("id", "datetime", F.col("ticker").alias("_ticker"))
+    joined, new = _with_daily(pending, daily, "inner", target_rows)
+    return joined.select("id", *[value.alias(c) for c, value in new.items()])
+
+
+def enrich_prices(articles: DataFrame, daily: DataFrame, target_rows: int = skew.TARGET_ROWS) -> DataFrame:
+    """The table with price and indicator columns filled for unpriced articles.
+
+    One left join on (ticker, day); days with very many articles are split. Articles without a daily row, and
+    those already priced, keep what they have. A NULL in the daily row overwrites. The join moves every column
+    that is read later; where the text is not needed, prefer `price_updates`.
+    """
+    table = _priceable(articles)
+    names = table.columns
+    pending = table.withColumn("_ticker", F.when(is_unpriced(), F.col("ticker")))
+    joined, new = _with_daily(pending, daily, "left", target_rows)
     return guarded_update(joined, F.coalesce("_hit", F.lit(False)), new).select(*names)
 
 

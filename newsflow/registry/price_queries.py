@@ -131,6 +131,16 @@ def price_enrich(spark, sf_dir):
     return rounded(out.select("id", *names), _DIGITS)
 
 
+@query("q_price_updates", f"""WITH RECURSIVE {V_PRICED} SELECT id, p.close AS price_close, p.open AS price_open, p.high AS price_high,
+  p.low AS price_low, CAST(p.volume AS DOUBLE) AS volume, {_sql_rounded(INDICATORS, 'p.')} FROM v_priced WHERE p.close IS NOT NULL""")
+def price_updates(spark, sf_dir):
+    done = F.when(F.col("lang") == "de", 1.5)
+    docs = views.articles(spark, sf_dir).withColumns({"price_close": done, "rsi_14": done})
+    daily = enrich.daily_indicators(views.bars(spark, sf_dir), views.AS_OF)
+    updates = enrich.price_updates(docs, daily)
+    return rounded(updates.withColumn("volume", F.col("volume").cast("double")), _DIGITS)
+
+
 @query("q_ticker_series", f"""WITH RECURSIVE {V_PRICED} SELECT id, {STAMP} AS datetime, p.open AS price_open, p.high AS price_high,
   p.low AS price_low, coalesce({PRICED}, p.close) AS price_close, round(p.std_upper, 3) AS std_upper, round(p.std_lower, 3) AS std_lower,
   coalesce({PRICED}, round(p.rsi_14, 6)) AS rsi_14, round(p.macd, 3) AS macd, round(p.macd_hist, 3) AS macd_hist

@@ -36,3 +36,30 @@ def test_plan(spark, name):
     assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
     if name not in PYTHON:
         assert not re.search(r"ArrowEvalPython|BatchEvalPython|MapInPandas", plan)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_copies_of_a_key_are_cut_before_the_shuffle(spark):
+    assert plan_of(QUERIES["q_news_dedupe"](spark, SF)).count("WindowGroupLimit") >= 2
+
+
+def test_scan_reads_five_columns_and_pushes_filters(spark):
+    plan = plan_of(QUERIES["q_scan"](spark, SF))
+    assert "PushedFilters: [IsNotNull(pct_change_eod), IsNotNull(ticker), EqualTo(ticker,3)]" in plan
+    assert "sentiment_combined" not in plan and "text:" not in plan
+
+
+def test_price_updates_do_not_move_texts(spark):
+    assert "n_chars" not in plan_of(QUERIES["q_price_updates"](spark, SF))
+
+
+def test_large_inputs_are_not_repartitioned(spark, monkeypatch):
+    from newsflow.operators import stage
+
+    df = spark.range(10)
+    assert "Repartition" in plan_of(stage.spread(df)) or "Exchange" in plan_of(stage.spread(df))
+    monkeypatch.setattr(stage, "SMALL_PER_CORE", 1)
+    assert "Exchange" not in plan_of(stage.spread(df))
