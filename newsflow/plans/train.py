@@ -7,8 +7,7 @@ import random
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.ml import PipelineModel
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -18,7 +17,7 @@ from pyspark.sql import functions as F
 
 from newsflow.functions.text import clamp, model_label, plain_words
 from newsflow.operators import evaluate, prepare
-from newsflow.operators.keys import guarded_update
+from newsflow.operators.keys import guarded_update, keyed_update
 from newsflow.operators.order import is_before, split_point
 from newsflow.operators.prepare import Preparation, carry_market
 from newsflow.schema import (
@@ -202,8 +201,6 @@ def backfill(articles: DataFrame, package: ModelPackage, by: Sequence[str] = ("t
     rows = all_rows(articles, wanted)
     package.prep.check(rows)
     updates = predict_signals(rows, package, by)
-    from newsflow.operators.keys import keyed_update
-
     table = ensure_columns(articles, {"sentiment_category": "string", "ml_confidence": "double"})
     return keyed_update(table, updates, ["sentiment_category", "ml_confidence"])
 
