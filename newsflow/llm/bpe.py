@@ -16,6 +16,7 @@ import re
 import tempfile
 import unicodedata
 import uuid
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from functools import cache
@@ -86,19 +87,19 @@ class Vocabulary:
         ids[-1] = self.last[word[-1]]
         if len(ids) > 256:
             return self._merge_long(ids)
-        get = self.pairs.get
-        ranks = [get(a << _ID_BITS | b, NO_MERGE) for a, b in zip(ids, ids[1:])]
+        get, bits, none, mask = self.pairs.get, _ID_BITS, NO_MERGE, (1 << _ID_BITS) - 1
+        ranks = [get(a << bits | b, none) for a, b in zip(ids, ids[1:])]
         while ranks:
             best = min(ranks)
-            if best == NO_MERGE:
+            if best == none:
                 break
             i = ranks.index(best)
-            ids[i] = new = best & (1 << _ID_BITS) - 1
+            ids[i] = new = best & mask
             del ids[i + 1], ranks[i]
             if i:
-                ranks[i - 1] = get(ids[i - 1] << _ID_BITS | new, NO_MERGE)
+                ranks[i - 1] = get(ids[i - 1] << bits | new, none)
             if i < len(ranks):
-                ranks[i] = get(new << _ID_BITS | ids[i + 1], NO_MERGE)
+                ranks[i] = get(new << bits | ids[i + 1], none)
         return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:
@@ -126,6 +127,11 @@ class Vocabulary:
         if self.word_ends:
             chunk = unicodedata.normalize("NFC", chunk)
             chunk = chunk.lower() if chunk.isascii() else "".join([c.lower() for c in chunk])
+        body = chunk[1:] if chunk[:1] == " " else chunk
+        if body.isalpha():
+            return [(body if self.word_ends else chunk).encode()]
+        if body[-1:] in _STOPS and body[:-1].isalpha():  # a word and one sign
+            return [(body[:-1] if self.word_ends else chunk[:-1]).encode(), body[-1:].encode()]
         return [w.encode() for w in self.words.findall(chunk)]
 
     def chunks(self, text: str) -> tuple[str, list[str]]:
@@ -141,6 +147,7 @@ class Vocabulary:
         return head, rest
 
 
+_STOPS = frozenset(".,;:!?")
 # str.split() also cuts at these, the vocabularies do not.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 _BLANKS = regex.compile(r"\s+")
@@ -162,7 +169,8 @@ class Automaton:
             parts.append(view[at:at + 4 * count].cast("I"))
             at += 4 * count
         self.first, self.target, self.before, self.ends, self.ids = parts
-        self.final, self.labels = view[at:at + states], at + states
+        self.final = view[at:at + states]
+        self.labels = bytes(view[at + states:])  # one byte per transition, searched in place
 
     @classmethod
     def of(cls, entries: dict[bytes, list[int]]) -> bytes:
@@ -212,14 +220,13 @@ class Automaton:
 
     def get(self, word: bytes) -> memoryview | None:
         """Id sequence of a word, None if the lexicon does not hold it."""
-        state, place, find = 0, 0, self.map.find
-        for i in range(len(word)):
-            at = find(word[i:i + 1], self.labels + self.first[state], self.labels + self.first[state + 1])
+        state, place, labels, first, before, target = 0, 0, self.labels, self.first, self.before, self.target
+        for b in word:
+            at = labels.find(b, first[state], first[state + 1])
             if at < 0:
                 return None
-            at -= self.labels
-            place += self.before[at]
-            state = self.target[at]
+            place += before[at]
+            state = target[at]
         return self.ids[self.ends[place]:self.ends[place + 1]] if self.final[state] else None
 
 
@@ -231,9 +238,16 @@ class Encoder(dict):
         self.vocabulary = Vocabulary(spec)
         self.lexicon = Automaton(lexicon) if lexicon else None
         self.lead = "" if self.vocabulary.word_ends else " "
+        self.signs = {s: self.words(s) for s in _STOPS}
 
     def __missing__(self, chunk: str) -> bytes:
-        ids = self.words(self.lead + chunk)
+        body, sign = chunk[:-1], chunk[-1:]
+        if sign in self.signs and body.isalpha():  # a word and a sign are two words
+            ids = self[body] + self.signs[sign]
+        elif not self.lead and chunk.isascii() and (low := chunk.lower()) != chunk:
+            ids = self[low]
+        else:
+            ids = self.words(self.lead + chunk)
         if len(chunk) <= MEMO_CHARS:
             if len(self) >= MEMO_WORDS:
                 self.clear()
@@ -241,11 +255,11 @@ class Encoder(dict):
         return ids
 
     def words(self, chunk: str) -> bytes:
-        out = []
+        out = array("I")
         for word in self.vocabulary.words_of(chunk):
             known = self.lexicon.get(word) if self.lexicon else None
-            out += self.vocabulary.merge(word) if known is None else known
-        return np.array(out, dtype="<u4").tobytes()
+            out.extend(self.vocabulary.merge(word) if known is None else known)
+        return out.tobytes()
 
     def plain(self, text: str) -> bytes:
         head, rest = self.vocabulary.chunks(text)
@@ -359,7 +373,7 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids", out_col: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = encoder(shared).vocabulary.bytes_of
         for b in batches:
-            texts = [b"".join(map(table.__getitem__, i.values.to_pylist() if i.is_valid else ())).decode("utf-8", "replace")
+            texts = [b"".join(map(table.__getitem__, i.values.to_numpy().tolist() if i.is_valid else ())).decode("utf-8", "replace")
                      for i in b.column(ids_col)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, out_col])
 
