@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsflow.llm import bpe, covertree, fingerprint, langid, lines, packing, simhash, suffix, warc
+from newsflow.llm import bpe, covertree, fingerprint, langid, licenses, lines, packing, simhash, suffix, warc
 from newsflow.llm.common import ready, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,3 +101,13 @@ def top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_suffix_array_dedup")
 def suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.report(table(spark, sf_dir, "documents")).drop("spans")
+
+
+@query("op5_license_scan")
+def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of a tree source/lang/number; a text that is a tenth or more licence notice is a licence file."""
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", "text", F.concat_ws("/", "source", "lang", F.floor(F.col("doc_id") / 1000).cast("string"), F.col("doc_id").cast("string")).alias("path"))
+    share = F.length(licenses.notice(F.col("text"), F.lit(False))) / F.length("text")
+    files = licenses.scan(spark, docs, licence_file=F.coalesce(share >= 0.1, F.lit(False)))
+    return files.select("doc_id", "path", "licence", "licence_from", "cosine")
