@@ -356,6 +356,26 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
 
 
+def accepted(docs: DataFrame, model: Model, least: float = 0.5, text_col: str = "text") -> DataFrame:
+    """`docs` without those rejected: texts without a letter, and texts in which no language has the share `least` of the words.
+
+    Columns stay. A model without languages only rejects texts without a letter.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    bounded = bool(model.langs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        label = labeller(shared.value)
+        for b in batches:
+            keep = []
+            for part in steps(texts_of(b.column(text_col))):
+                for words, found in label.label(part):
+                    keep.append(bool(words) and (not bounded or label.predict(words, found)[1] >= least))
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def label_words(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, place, word, lang, score): language of every word, for code-switched text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)

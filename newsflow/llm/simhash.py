@@ -60,15 +60,16 @@ def vote(hashes: list[int]) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """(doc_id, fp): signed 64-bit form of the fingerprint. Null and blank texts have fingerprint zero."""
+    """(doc_id, h, fp): hash of the text and signed 64-bit form of the fingerprint. Null and blank texts have fingerprint zero."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([fingerprint(t, width) for t in texts_of(b.column(1))], dtype=np.uint64).astype(np.int64)
-            yield batch(doc_id=b.column(0), fp=fps)
+            fps = np.array([fingerprint(t, width) for t in texts_of(b.column(2))], dtype=np.uint64).astype(np.int64)
+            yield batch(doc_id=b.column(0), h=b.column(1), fp=fps)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
+    narrow = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(F.col(f"`{text_col}`")).alias("h"), F.col(f"`{text_col}`").alias("t"))
+    return narrow.mapInArrow(run, f"doc_id {kind}, h long, fp long")
 
 
 # ---- anchors
@@ -192,22 +193,41 @@ def fingerprint_links(fps: DataFrame, threshold: int = 2, homes_per_part: int =
     return sent.mapInArrow(lambda batches: _links(batches, threshold), "a long, b long")
 
 
+def groups(fps: DataFrame, threshold: int = 2) -> DataFrame:
+    """(fp, first): for every different fingerprint the first document of its component, by id (null last) and text hash.
+
+    Equal fingerprints are one node, so thousands of copies cost one comparison. Nodes, links and components are
+    tables; the driver sees counts only.
+    """
+    first = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "h")
+    nodes = cut_lineage(fps.groupBy("fp").agg(F.min(first).alias("first")))
+    # Few wide rows become many: spread them first.
+    roots = components(fingerprint_links(nodes.select("fp").repartition(parts_for(fps)), threshold), "a", "b")
+    named = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    lowest = named.groupBy("root").agg(F.min("first").alias("lowest"))
+    return cut_lineage(named.join(lowest, "root").select("fp", F.col("lowest").alias("first")))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, threshold: int = 2) -> DataFrame:
     """(doc_id, fingerprint, component_id): one row per document.
 
     Words are runs of other bytes than blanks and control blanks, ASCII letters lower-cased. Null, empty and blank
     texts have fingerprint zero and are linked like any other. component_id is the smallest id of the
     component, null if all its ids are null; repeated rows are kept. Other columns are ignored.
-
-    Equal fingerprints are one node, so thousands of copies cost one comparison. Nodes, links and components
-    are tables; the driver sees counts only.
     """
     fps = cut_lineage(fingerprints(docs, id_col, text_col, width))
-    nodes = cut_lineage(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    # Few wide rows become many: spread them first.
-    roots = components(fingerprint_links(nodes.select("fp").repartition(parts_for(docs)), threshold), "a", "b")
-    named = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    lowest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    groups = cut_lineage(named.join(lowest, "root").select("fp", "component_id"))
-    return fps.join(groups, "fp").select(
-        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return fps.join(groups(fps, threshold), "fp").select(
+        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("first.doc_id").alias("component_id"))
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, threshold: int = 2) -> DataFrame:
+    """`docs` with one document of each component left, the one with the smallest id; equal rows are one document.
+
+    Among equal ids the text with the smaller hash stays; null ids only stay where a component has no other.
+    """
+    fps = fingerprints(docs, id_col, text_col, width)
+    firsts = groups(cut_lineage(fps), threshold).select("first.doc_id", "first.h").distinct()
+    firsts = firsts.select(F.col("doc_id").alias("_first"), F.col("h").alias("_h"))
+    keyed = docs.withColumn("_text_hash", F.xxhash64(F.col(f"`{text_col}`")))
+    kept = keyed.join(firsts, keyed[id_col].eqNullSafe(F.col("_first")) & (F.col("_text_hash") == F.col("_h")), "left_semi")
+    return kept.dropDuplicates([id_col, "_text_hash"]).drop("_text_hash")
