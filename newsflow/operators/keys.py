@@ -46,3 +46,11 @@ def keyed_update(
 def guarded_update(df: DataFrame, when: Column, columns: dict[str, Column]) -> DataFrame:
     """Set columns where a condition holds, leave them as they are elsewhere. No join."""
     return df.withColumns({c: F.when(when, new).otherwise(F.col(c)) for c, new in columns.items()})
+
+
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """Join on columns of equal names in which NULL equals NULL; the columns of `left` stay, then the others of `right`."""
+    keys = list(keys)
+    named = right.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    on = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+    return left.join(named, on, how).drop(*[f"_k_{k}" for k in keys])

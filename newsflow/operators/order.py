@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from newsflow.operators.keys import null_safe_join
 from newsflow.session import cut_lineage
 
 CHUNK = "_chunk"
@@ -41,7 +42,7 @@ def running_totals(
     before = Window.partitionBy(*by).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*keys, *[F.sum(f"_t_{c}").over(before).alias(f"_o_{c}") for c in sums])
     inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = df.join(offsets, keys).withColumns(
+    out = null_safe_join(df, offsets, keys).withColumns(
         {new: F.sum(c).over(inside) + F.coalesce(F.col(f"_o_{c}"), F.lit(0)) for c, new in sums.items()}
     )
     return out.drop(*[f"_o_{c}" for c in sums])
@@ -70,7 +71,7 @@ def carry_forward(
     filled = {
         f"{prefix}{c}{suffix}": F.coalesce(F.last(c, ignorenulls=True).over(inside), F.col(f"_c_{c}")) for c in cols
     }
-    return df.join(carried, keys).withColumns(filled).drop(*[f"_c_{c}" for c in cols])
+    return null_safe_join(df, carried, keys).withColumns(filled).drop(*[f"_c_{c}" for c in cols])
 
 
 @dataclass

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from newsflow.operators.keys import null_safe_join
 from newsflow.operators.order import carry_forward
 
 MONTH = "_month"
@@ -41,7 +42,7 @@ def with_positions(
     inside = Window.partitionBy(*keys).orderBy(*order)
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
     return (
-        df.join(offsets, keys)
+        null_safe_join(df, offsets, keys)
         .withColumns({
             "_pos": F.col("_on") + F.row_number().over(inside) - 1,
             "_vpos": F.col("_ov") + F.sum("_flag").over(upto) - F.col("_flag"),
@@ -70,7 +71,8 @@ def densify(
     """One row per calendar day from the first bar of each key to `end`, filled forward.
 
     `df` has one row per key and day. Each row is repeated up to the day before the next one, so no calendar
-    has to be joined. Nulls in existing rows are filled as well. Days after `end` that have bars are kept.
+    has to be joined. Nulls in existing rows are filled as well. Days after `end` that have bars are kept,
+    and so are rows with a NULL key or day.
     """
     keys = [*by, MONTH]
     df = by_month(df.select(*by, date_col, *cols), date_col)
@@ -87,12 +89,12 @@ def densify(
     inside = Window.partitionBy(*keys).orderBy(date_col)
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
     following = F.coalesce(F.lead(date_col).over(inside), F.col("_next"))
-    filled = df.join(carried, keys).select(
+    filled = null_safe_join(df, carried, keys).select(
         *by, F.col(date_col).alias("_day"), following.alias("_until"),
         *[F.coalesce(F.last(c, ignorenulls=True).over(upto), F.col(f"_c_{c}")).alias(c) for c in cols],
     )
     last_day = F.coalesce(F.date_sub("_until", 1), F.greatest(F.col("_day"), end))
-    return filled.select(*by, F.explode(F.sequence("_day", last_day, F.expr("INTERVAL 1 DAY"))).alias(date_col), *cols)
+    return filled.select(*by, F.explode_outer(F.sequence("_day", last_day, F.expr("INTERVAL 1 DAY"))).alias(date_col), *cols)
 
 
 def relative_change(df: DataFrame, by: Sequence[str], date_col: str, col: str, out: str) -> DataFrame:

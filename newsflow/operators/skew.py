@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from newsflow.operators.keys import null_safe_join
+
 # Rows of one key a single task should handle. Keys above it are split.
 TARGET_ROWS = 4_000_000
 SALT = "_salt"
@@ -35,31 +37,26 @@ def hot_groups(
 def salt_rows(df: DataFrame, keys: Sequence[str], hot: DataFrame, row_id: Sequence[str]) -> DataFrame:
     """Give each row of a hot key one of its parts, by a hash of the row's own id (same on every retry)."""
     part = F.pmod(F.xxhash64(*row_id), F.coalesce(F.col(PARTS), F.lit(1)).cast("bigint")).cast("int")
-    return df.join(F.broadcast(hot), list(keys), "left").withColumn(SALT, part).drop(PARTS)
+    return null_safe_join(df, F.broadcast(hot), keys).withColumn(SALT, part).drop(PARTS)
 
 
 def spread_rows(df: DataFrame, keys: Sequence[str], hot: DataFrame) -> DataFrame:
     """Copy the rows of a hot key into each of its parts."""
     parts = F.sequence(F.lit(0), F.coalesce(F.col(PARTS), F.lit(1)) - 1)
-    return df.join(F.broadcast(hot), list(keys), "left").withColumn(SALT, F.explode(parts)).drop(PARTS)
+    return null_safe_join(df, F.broadcast(hot), keys).withColumn(SALT, F.explode(parts)).drop(PARTS)
 
 
 def salted_join(
     left: DataFrame, right: DataFrame, on: Sequence[str], row_id: Sequence[str], how: str = "inner",
     target_rows: int = TARGET_ROWS,
 ) -> DataFrame:
-    """Equi join where `left` may be skewed on the key and `right` has few rows per key."""
+    """Equi join where `left` may be skewed on the key and `right` has few rows per key.
+
+    A hot NULL key is split as well: its rows match nothing, but an outer join still moves them.
+    """
     keys = list(on)
     hot = hot_groups(left, keys, target_rows)
     salted = salt_rows(left, keys, hot, row_id)
     spread = spread_rows(right, keys, hot)
     return salted.join(spread, [*keys, SALT], how).drop(SALT)
 
-
-def fixed_salt(rows: Sequence[str], parts: int) -> Column:
-    """Part number for joins where every key is spread the same way."""
-    return F.pmod(F.xxhash64(*rows), F.lit(parts).cast("bigint")).cast("int")
-
-
-def spread_fixed(df: DataFrame, parts: int) -> DataFrame:
-    return df.withColumn(SALT, F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))

@@ -188,3 +188,33 @@ def test_salted_join_splits_hot_keys(spark):
     assert sorted(tuple(r) for r in got.select("id", "k", "v").collect()) == want
     hot = skew.hot_groups(left, ["k"], 100).collect()
     assert [tuple(r) for r in hot] == [(1, 8)]
+
+
+def test_rows_with_null_keys_stay(spark):
+    from newsflow.operators.order import running_totals
+    from newsflow.operators.prepare import carry_market
+    from newsflow.operators.series import densify, relative_change, with_positions
+
+    rows = [(1, "a", "2024-01-01", 1.0), (2, None, "2024-01-01", None), (3, None, "2024-01-02", 5.0), (4, None, "2024-01-03", None), (5, "a", None, None),
+            (6, None, None, 7.0)]
+    df = spark.createDataFrame(rows, "id int, ticker string, d string, vix_close double").select(
+        "id", "ticker", F.col("d").cast("date").alias("date"), F.col("d").cast("timestamp").alias("datetime"), "vix_close")
+    carried = {r["id"]: r["vix_close"] for r in carry_market(df).collect()}
+    assert carried.keys() == {1, 2, 3, 4, 5, 6} and carried[4] == 5.0
+    totals = running_totals(df.withColumn("b", F.col("date")), ["id"], {"vix_close": "s"}, ["ticker"], "b")
+    assert totals.count() == 6
+    assert with_positions(df, ["id"], "date", ["ticker"]).count() == 6
+    assert {r["id"] for r in relative_change(df, ["ticker"], "date", "vix_close", "change").collect()} == {1, 2, 3, 4, 5, 6}
+    dense = densify(df, ["ticker"], "date", ["vix_close"], F.lit("2024-01-03").cast("date"))
+    assert dense.where("ticker IS NULL AND date IS NOT NULL").count() == 3 and dense.where("date IS NULL").count() == 2
+
+
+def test_hot_null_key_is_split(spark):
+    from newsflow.operators import skew
+
+    left = spark.range(1000).select("id", F.when(F.col("id") >= 900, F.col("id")).alias("k"))
+    hot = skew.hot_groups(left, ["k"], 100)
+    salted = skew.salt_rows(left, ["k"], hot, ["id"])
+    assert salted.where("k IS NULL").select(skew.SALT).distinct().count() == 9
+    right = left.select("k", F.lit(1).alias("x")).where("k = 950")
+    assert skew.salted_join(left, right, ["k"], ["id"], "left", 100).count() == 1000
