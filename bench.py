@@ -23,6 +23,7 @@ HEADLINE = [
     "q_indicator_table", "q_densify", "q_price_enrich", "q_context", "q_outcome_intraday", "q_outcome_daily",
     "q_outcome_ticker", "q_weekend_patch_global", "q_split", "q_impute_scale", "q_pr_f1", "q_class_report", "q_upsert",
     "q_news_rows", "q_ingest_job", "q_has_news", "q_status", "q_stream_score",
+    "q_lexicon_score_grown", "q_train_score", "q_backfill", "q_regressor", "q_text_model",
 ]
 
 

@@ -145,7 +145,3 @@ def model_label(probability: Column, threshold: float = MODEL_THRESHOLD) -> Colu
 def centred_probability(probability: Column) -> Column:
     """Probability of the positive class as a score in [-1, 1]."""
     return (probability - 0.5) * 2
-
-
-def sql_left(col: Column, n: int) -> Column:
-    return F.left(col, F.lit(n))

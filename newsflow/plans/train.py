@@ -17,13 +17,13 @@ from pyspark.sql import functions as F
 
 from newsflow.functions.text import clamp, model_label, plain_words
 from newsflow.operators import evaluate, prepare
-from newsflow.operators.keys import guarded_update, keyed_update
+from newsflow.operators.keys import keyed_update
 from newsflow.operators.order import is_before, split_point
 from newsflow.operators.prepare import Preparation, carry_market
 from newsflow.schema import (
     CLASSIFIER_FEATURES, MIN_TRAINING_ROWS, REGRESSOR_FEATURES, ensure_columns, require_features, target_column,
 )
-from newsflow.session import cut_lineage
+from newsflow.session import cut_lineage, scratch_path
 
 SEED = 42
 # Moves in percent that count as significant, and the clip of the regression target. The alternatives are the
@@ -285,7 +285,11 @@ def prediction_check(trained: TrainedRegressor, n: int = 100) -> DataFrame:
 # --- text classifier ------------------------------------------------------------------------------------------
 
 def train_text_classifier(labelled: DataFrame, text_col: str = "text", label: str = "label", buckets: int = 1 << 16) -> PipelineModel:
-    """Text classifier on hashed, weighted word counts; its input column is `_plain`."""
+    """Text classifier on hashed, weighted word counts; its input column is `_plain`.
+
+    The model is returned as it is read back: a freshly fitted one keeps a training summary, and with it the session,
+    which cannot be sent to tasks once the session has observed metrics.
+    """
     rows = labelled.select(plain_words(F.col(text_col)).alias("_plain"), F.col(label).cast("double").alias("label"))
     stages = [
         RegexTokenizer(inputCol="_plain", outputCol="_tokens", pattern=r"(?U)\s+"),
@@ -293,10 +297,6 @@ def train_text_classifier(labelled: DataFrame, text_col: str = "text", label: st
         IDF(inputCol="_tf", outputCol="_tfidf"),
         LogisticRegression(featuresCol="_tfidf", labelCol="label", maxIter=50, regParam=0.01),
     ]
-    return Pipeline(stages=stages).fit(rows)
-
-
-def set_signals(articles: DataFrame, probability: Column) -> DataFrame:
-    """Label and confidence from a probability column already in the table."""
-    return guarded_update(articles, probability.isNotNull(), {
-        "sentiment_category": model_label(probability), "ml_confidence": probability})
+    path = scratch_path(labelled.sparkSession, "text-model")
+    Pipeline(stages=stages).fit(rows).write().save(path)
+    return PipelineModel.load(path)

@@ -43,18 +43,22 @@ def compare(spark, con, name, sf_dir, query, sql):
     start = time.time()
     timer = threading.Timer(LIMIT, spark.sparkContext.cancelAllJobs)
     timer.start()
-    df = query(spark, sf_dir)
-    got = table_of(df.columns, [tuple(r) for r in df.collect()])
-    timer.cancel()
+    try:
+        df = query(spark, sf_dir)
+        got = table_of(df.columns, [tuple(r) for r in df.collect()])
+    finally:
+        timer.cancel()
     spent = time.time() - start
     if sql is None:
         return True, f"{name}: {len(got[1])} rows, no SQL, {spent:.1f}s"
     start = time.time()
     timer = threading.Timer(LIMIT, con.interrupt)
     timer.start()
-    cursor = con.execute(sql)
-    want = table_of([d[0] for d in cursor.description], cursor.fetchall())
-    timer.cancel()
+    try:
+        cursor = con.execute(sql)
+        want = table_of([d[0] for d in cursor.description], cursor.fetchall())
+    finally:
+        timer.cancel()
     sql_spent = time.time() - start
     if got[0] != want[0]:
         return False, f"{name}: columns {got[0]} vs {want[0]}"

@@ -131,6 +131,3 @@ def target_column(horizon: str = "eod") -> str:
     """Horizon name to outcome column; an unknown name means end of day."""
     return HORIZONS.get(horizon.lower(), HORIZONS["eod"])
 
-
-def nan_to_null(col: Column) -> Column:
-    return F.when(~F.isnan(col), col)

@@ -303,3 +303,18 @@ def test_stream_dedupe_equals_batch(spark, tmp_path):
     jobs.run_ingest(stream, path, str(tmp_path / "cp2")).awaitTermination()
     out = spark.read.parquet(path)
     assert out.count() == 7 and out.select("url").distinct().count() == 7
+
+
+def test_text_model_is_usable_after_an_append(spark, tmp_path):
+    from newsflow.plans.scoring import with_classifier_score
+    from newsflow.plans.train import train_text_classifier
+    from newsflow.sources.sinks import append_articles
+
+    path = str(tmp_path / "articles")
+    stored = schema.pad_articles(spark.createDataFrame([], "url string"))
+    new = spark.createDataFrame([("u1", "good news", "2024-01-02 10:00:00")], "url string, headline string, datetime string")
+    assert append_articles(stored, new, path, ["url"]) == 1
+    docs = spark.createDataFrame([(i, "good good news" if i % 2 else "bad day", i % 2) for i in range(20)], "id int, text string, label int")
+    model = train_text_classifier(docs)
+    scores = {r["id"]: r["s"] for r in with_classifier_score(docs, model, "text", "s").collect()}
+    assert scores[1] > 0 > scores[0]
