@@ -178,6 +178,18 @@ def lexicon_hits(spark, sf_dir):
     return hits.select("id", F.explode("hits").alias("h")).select("id", "h.keyword", "h.weight")
 
 
+@query("q_lexicon_hits_grown", rf"""WITH {V_TEXT},{V_GROWN},
+lex AS (SELECT keyword, weight, (contains(keyword, ' ') OR contains(keyword, '-')) AS is_phrase,
+  '% ' || replace(replace(keyword, '-', ' '), ' ', ' % ') || ' %' AS pattern, string_split(replace(keyword, '-', ' '), ' ') AS parts FROM v_grown),
+spaced AS (SELECT id, '  ' || regexp_replace(unnest(string_split(low, chr(10))), '[^\p{{L}}\p{{N}}_]+', '  ', 'g') || '  ' AS line FROM v_text)
+SELECT id, keyword, round(weight, 6) AS weight FROM v_text JOIN lex ON NOT is_phrase AND contains(low, keyword)
+UNION
+SELECT id, keyword, round(weight, 6) AS weight FROM spaced JOIN lex ON is_phrase AND contains(line, parts[1]) AND contains(line, parts[-1]) AND line LIKE pattern""")
+def lexicon_hits_grown(spark, sf_dir):
+    hits = with_lexicon_hits(with_text(views.articles(spark, sf_dir)), "full_text", grown_lexicon(spark, sf_dir))
+    return hits.select("id", F.explode("hits").alias("h")).select("id", "h.keyword", F.round("h.weight", 6).alias("weight"))
+
+
 @query("q_question_bias", f"WITH {V_TEXT} SELECT id, CAST({QUESTION} AS DOUBLE) AS bias FROM v_text")
 def question_bias(spark, sf_dir):
     return with_text(views.articles(spark, sf_dir)).select("id", tx.question_bias(F.col("full_text")).alias("bias"))

@@ -74,6 +74,20 @@ def test_unicode_words_and_newlines_agree_in_both_plans(spark):
                                  10: 0, 11: 0, 12: 1.0})
 
 
+@pytest.mark.parametrize("entries", [1_999, 2_001, 50_000])
+def test_size_of_the_lexicon_changes_nothing(spark, entries):
+    lexicon = [("record revenue", 1.5), ("miss", -1.0), ("re", 0.5), ("x-y", 2.0)] + [(f"zq{i} zz" if i % 2 else f"zq{i}", 1.0) for i in range(entries - 4)]
+    texts = ["Record revenue, no miss", "misses and zq8", "x y", None, "", "record\nrevenue"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    lex = spark.createDataFrame(lexicon, "keyword string, weight double")
+    score = {r["id"]: r["s"] for r in with_lexicon_score(df, "text", lex, out="s").collect()}
+    hits = {r["id"]: [h["keyword"] for h in r["hits"]] for r in with_lexicon_hits(df, "text", lex).collect()}
+    assert hits[0] == ["miss", "re", "record revenue"] and hits[1] == ["miss", "zq8"] and hits[2] == ["x-y"]
+    assert hits[3] == [] and hits[4] == [] and hits[5] == ["re"]
+    small = lexicon[:4] + [("zq8", 1.0)]
+    assert score == {r["id"]: r["s"] for r in with_lexicon_score(df, "text", small, out="s").collect()}
+
+
 def test_hits_for_audit(spark):
     df = spark.createDataFrame([(1, "Record-breaking revenue: a record!")], "id long, text string")
     hits = with_lexicon_hits(df, "text", FINANCE).first()["hits"]
