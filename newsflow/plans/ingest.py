@@ -2,85 +2,72 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable, Iterator, Sequence
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
+from newsflow.functions import html
 from newsflow.functions.temporal import news_time
-from newsflow.functions.text import strip
 from newsflow.functions.urls import url_join
 from newsflow.operators.keys import insert_ignore
+from newsflow.operators.stage import computed
 from newsflow.schema import pad_articles
 from newsflow.sources.sinks import with_ids
 
 DAYS_BACK = 30
 BASE_URL = "https://finviz.com/"
-# The news table of a page and what is inside it.
-NEWS_TABLE = r'(?is)<table\b[^>]*\bid\s*=\s*["\']?news-table\b[^>]*>(.*?)</table\s*>'
-ROW = r"(?is)<tr\b[^>]*>(.*?)(?=<tr\b|</tr\s*>|$)"
-CELL = r"(?is)<td\b[^>]*>(.*?)(?=<td\b|</td\s*>|$)"
-LINK = r"(?is)<a\b[^>]*\bhref\s*=\s*[\"']?([^\"'>\s]*)[\"']?[^>]*>(.*?)</a\s*>"
+ROWS = "array<struct<pos:int,cell:string,full:string,link:string,headline:string>>"
+LINKS = "array<struct<pos:int,link:string,label:string>>"
+
+
+def _read(pages: DataFrame, keep: Sequence[str], read: Callable[[str | None], list[tuple]], kind: str) -> DataFrame:
+    """Columns `keep` and `rows`, what `read` finds in the page: one narrow pass over the pages, in Arrow batches."""
+    struct = to_arrow_type(T._parse_datatype_string(kind))
+    names = [f.name for f in struct.value_type]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [[dict(zip(names, row)) for row in read(html)] for html in b.column(len(keep)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(rows, struct)], names=[*keep, "rows"])
 
-def _plain(html: Column) -> Column:
-    """Text of a piece of HTML: tags removed, the common entities resolved, outer blanks cut."""
-    text = F.regexp_replace(html, r"(?s)<[^>]*>", "")
-    # Entities and their characters; the ampersand is last.
-    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return strip(text)
+    kinds = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in keep)
+    return pages.select(*keep, "html").mapInArrow(run, f"{kinds}, rows {kind}")
 
 
 def page_links(pages: DataFrame, base: str = BASE_URL) -> DataFrame:
     """All links of the pages in order: (page_id, pos, url, label)."""
-    anchors = F.regexp_extract_all("html", F.lit(LINK), F.lit(0))
-    each = pages.select("page_id", F.posexplode(anchors).alias("pos", "a"))
-    return each.select(
-        "page_id", "pos", url_join(F.regexp_extract("a", LINK, 1), base).alias("url"),
-        _plain(F.regexp_extract("a", LINK, 2)).alias("label"),
-    )
+    each = _read(pages, ["page_id"], html.links, LINKS).select("page_id", F.inline("rows"))
+    return each.select("page_id", "pos", url_join(F.col("link"), base).alias("url"), "label")
 
 
 def news_rows(pages: DataFrame, base: str = BASE_URL) -> DataFrame:
-    """Rows of the news tables: (page_id, ticker, pos, cell, url, headline). Narrow.
+    """Rows of the news tables: (page_id, ticker, pos, cell, url, headline)."""
+    each = _read(pages, ["page_id", "ticker"], html.news_rows, ROWS).select("page_id", "ticker", F.inline("rows"))
+    return each.select("page_id", "ticker", "pos", "cell", url_join(F.col("link"), base).alias("url"), "headline")
 
-    A row needs two cells and a link in the second one.
-    """
-    table = F.regexp_extract("html", NEWS_TABLE, 1)
-    rows = pages.select("page_id", "ticker", F.posexplode(F.regexp_extract_all(table, F.lit(ROW), F.lit(1))).alias("pos", "tr"))
-    cells = rows.withColumn("td", F.regexp_extract_all("tr", F.lit(CELL), F.lit(1))).where(F.size("td") >= 2)
-    linked = cells.where(F.col("td")[1].rlike(LINK))
-    link = F.col("td")[1]
-    return linked.select(
-        "page_id", "ticker", "pos", _plain(F.col("td")[0]).alias("cell"),
-        url_join(F.regexp_extract(link, LINK, 1), base).alias("url"),
-        _plain(F.regexp_extract(link, LINK, 2)).alias("headline"),
-    )
-
-
-def dated_rows(rows: DataFrame, as_of: Column) -> DataFrame:
-    """Give each row its UTC time: a cell with only a time takes the date of the last dated row of its page.
-
-    The window runs over the rows of one page, which came from one HTML text.
-    """
-    whole = F.col("cell").contains(" ") | F.col("cell").contains("-") | F.lower("cell").startswith("today")
-    day = F.when(whole, F.regexp_replace("cell", r"\s+\d{1,2}:\d{2}\s*[AaPp][Mm]$", ""))
-    page = Window.partitionBy("page_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    header = F.last(day, ignorenulls=True).over(page)
-    full = F.when(whole | header.isNull(), F.col("cell")).otherwise(F.concat_ws(" ", header, "cell"))
-    return rows.withColumn("_full", full).withColumn("datetime", news_time(F.col("_full"), as_of)).drop("_full")
 
+def recent(rows: Column, as_of: Column, days_back: int = DAYS_BACK) -> Column:
+    """Rows of one page with their UTC time `datetime`, up to the first one older than the limit; those without a valid time go.
 
-def recent_rows(rows: DataFrame, as_of: Column, days_back: int = DAYS_BACK) -> DataFrame:
-    """Rows of a page up to its first one older than the limit; rows without a valid time are dropped."""
-    page = Window.partitionBy("page_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    old = F.coalesce(F.col("datetime") < as_of - F.make_dt_interval(F.lit(days_back)), F.lit(False))
-    return rows.withColumn("_stopped", F.max(old).over(page)).where(~F.col("_stopped") & F.col("datetime").isNotNull()).drop("_stopped")
+    A cell with only a time has the date of the last dated row of its page in `full`.
+    """
+    timed = F.transform(rows, lambda r: F.struct(
+        r["pos"].alias("pos"), r["link"].alias("link"), r["headline"].alias("headline"), news_time(r["full"], as_of).alias("datetime")))
+    limit = as_of - F.make_dt_interval(F.lit(days_back))
+    old = F.array_position(F.transform(timed, lambda r: F.coalesce(r["datetime"] < limit, F.lit(False))), True)
+    upto = F.when(old > 0, F.slice(timed, F.lit(1), (old - 1).cast("int"))).otherwise(timed)
+    return F.filter(upto, lambda r: r["datetime"].isNotNull())
 
 
 def parse_pages(pages: DataFrame, as_of: Column, days_back: int = DAYS_BACK, base: str = BASE_URL) -> DataFrame:
     """Pages to news rows with times: (page_id, pos, ticker, datetime, headline, url, text)."""
-    rows = recent_rows(dated_rows(news_rows(pages, base), as_of), as_of, days_back)
-    return rows.select("page_id", "pos", "ticker", "datetime", "headline", "url", F.lit("").alias("text"))
+    read = computed(_read(pages, ["page_id", "ticker"], html.news_rows, ROWS), {"rows": recent(F.col("rows"), as_of, days_back)})
+    each = read.select("page_id", "ticker", F.inline("rows"))
+    return each.select("page_id", "pos", "ticker", "datetime", "headline", url_join(F.col("link"), base).alias("url"), F.lit("").alias("text"))
 
 
 def new_articles(pages: DataFrame, stored: DataFrame, as_of: Column, days_back: int = DAYS_BACK,

@@ -174,7 +174,8 @@ def training_frame(spark, sf_dir):
 # --- pages ------------------------------------------------------------------------------------------------------
 
 @query("q_page_links", r"""WITH a AS (
-    SELECT page_id, unnest(regexp_extract_all(html, '(?is)<a\b[^>]*\bhref\s*=\s*["'']?([^"''>\s]*)', 1)) AS link FROM pages)
+    SELECT page_id, replace(unnest(list_transform((string_split(html, '<a href="'))[2:], lambda x: string_split(x, '"')[1])), '&amp;', '&') AS link
+    FROM pages)
   SELECT page_id, CASE WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN link WHEN link LIKE '//%' THEN 'https:' || link
     WHEN link LIKE '/%' THEN 'https://finviz.com' || link WHEN link = '' THEN 'https://finviz.com/' ELSE 'https://finviz.com/' || link END AS url,
     count(*) AS n FROM a GROUP BY 1, 2""")
@@ -201,8 +202,8 @@ V_NEWS = views.V_ARTICLES + r""",
 v_news AS (SELECT id, id // 20 AS page_id, id % 20 AS pos, ticker,
   CASE WHEN id % 20 % 7 = 6 THEN NULL ELSE TIMESTAMP '2001-12-31 21:30:00' + to_days(CAST(-((id // 20) % 9) - (id % 20) // 5 * (2 + (id // 20) % 13) AS INT))
     - to_minutes(CAST(id % 20 % 5 * 61 AS BIGINT)) END AS dt,
-  trim(regexp_replace(headline, '\s+', ' ', 'g')) AS headline,
-  CASE id % 3 WHEN 0 THEN 'https://finviz.com/news/' || (id // 2) WHEN 1 THEN 'https://n.example/' || (id // 4) ELSE 'https://cdn.example/' || (id // 2) END AS url
+  trim(regexp_replace(headline, '\s+', ' ', 'g')) || CASE WHEN id % 4 = 0 THEN ' — don''t €' ELSE '' END AS headline,
+  CASE id % 3 WHEN 0 THEN 'https://finviz.com/news/' || (id // 2) || '?a=1&b=it''s two' WHEN 1 THEN 'https://n.example/' || (id // 4) ELSE 'https://cdn.example/' || (id // 2) END AS url
   FROM v_articles),
 v_kept AS (SELECT * FROM (
   SELECT *, max(CASE WHEN dt < TIMESTAMP '2001-12-01 17:00:00' THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS stopped
@@ -223,18 +224,26 @@ def news_pages(spark, sf_dir) -> DataFrame:
     local = F.timestamp_seconds(
         F.unix_seconds(F.lit("2001-12-31 16:30:00").cast("timestamp")) - back * 86400 - (pos % 5) * 61 * 60)
     clock = F.date_format(local, "hh:mma")
-    cell = F.when(pos % 7 == 6, "n/a").when(pos % 5 == 0, F.concat_ws(" ", F.date_format(local, "MMM-dd-yy"), clock)).otherwise(clock)
+    # All four forms of a date, and rows with a time only.
+    dated = (
+        F.when(back == 0, F.concat(F.lit("Today "), clock)).when(back == 1, F.concat(F.lit("Yesterday "), clock))
+        .when(page % 4 == 2, F.concat_ws(" ", F.date_format(local, "MMM d"), clock)).otherwise(F.concat_ws(" ", F.date_format(local, "MMM-dd-yy"), clock)))
+    cell = F.when(pos % 7 == 6, "n/a").when(pos % 5 == 0, dated).otherwise(clock)
     link = (
-        F.when(n % 3 == 0, F.concat(F.lit("/news/"), F.floor(n / 2).cast("string")))
+        F.when(n % 3 == 0, F.concat(F.lit("/news/"), F.floor(n / 2).cast("string"), F.lit("?a=1&amp;b=it's two")))
         .when(n % 3 == 1, F.concat(F.lit("https://n.example/"), F.floor(n / 4).cast("string")))
         .otherwise(F.concat(F.lit("//cdn.example/"), F.floor(n / 2).cast("string"))))
     title = F.trim(F.regexp_replace("headline", r"\s+", " "))
     row = F.concat(F.lit("<tr class='cursor'>\n<td width=130>"), cell, F.lit("</td><td><a class='tab-link' href=\""), link,
-                   F.lit("\"><b>"), _escaped(title), F.lit("</b></a> <span>src</span></td></tr>"))
+                   F.lit("\"><b>"), _escaped(title), F.when(n % 4 == 0, " &mdash; don&#x27;t &#8364;").otherwise(""), F.lit("</b></a> <span>src</span></td></tr>"))
     rows = views.articles(spark, sf_dir).select(page.alias("page_id"), pos.alias("pos"), row.alias("row"), "ticker")
     made = rows.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("pos", "row"))).alias("rows"))
     body = F.array_join(F.transform("rows", lambda r: r["row"]), "")
-    html = F.concat(F.lit("<html><body><table><tr><td>x</td></tr></table><table id=\"news-table\">"), body, F.lit("</table></body></html>"))
+    # A table whose id only begins alike, then the news as a table or inside a div, then a table that is none.
+    decoy = F.lit("<html><body><table id=\"news-table-head\"><tr><td>Dec-01-01 10:00AM</td><td><a href='/no'>no</a></td></tr></table>")
+    table = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("<table id=\"news-table\">"), body, F.lit("</table>"))).otherwise(
+        F.concat(F.lit("<div id=news-table class=x><table>"), body, F.lit("</table></div>")))
+    html = F.concat(decoy, table, F.lit("<table><tr><td>Dec-01-01 10:00AM</td><td><a href='/no'>no</a></td></tr></table></body></html>"))
     return made.select("page_id", F.concat(F.lit("P"), F.col("page_id").cast("string")).alias("ticker"), html.alias("html"))
 
 

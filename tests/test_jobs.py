@@ -318,3 +318,21 @@ def test_text_model_is_usable_after_an_append(spark, tmp_path):
     model = train_text_classifier(docs)
     scores = {r["id"]: r["s"] for r in with_classifier_score(docs, model, "text", "s").collect()}
     assert scores[1] > 0 > scores[0]
+
+
+PAGE = """<table id=news-table-head><tr><td>Today 09:00AM</td><td><a href="/no">no</a></td></tr></table>
+<div id='news-table'><tr><td> Dec-14-24 04:00PM </td><td><a href="/it's/x y?a=1&amp;b=2">it&#x27;s <b>big</b> &mdash; don&rsquo;t</a></td></tr>
+<tr><td>03:00PM</td><td><table><tr><td>inner</td></tr></table><a href=second>two</a></td></tr><tr><td>n/a</td><td><a href='/bad'>bad</a></td></tr>
+<tr><td>only one cell</td></tr><tr><td>02:00PM</td><td>no link</td></tr><tr><td>Oct-01-24 02:00PM</td><td><a href="/old">old</a></td></tr>
+<tr><td>Dec-14-24 01:00PM</td><td><a href="/after">after an old one</a></td></tr></div>"""
+
+
+def test_pages_are_read_as_html(spark):
+    pages = spark.createDataFrame([(1, "A", PAGE), (2, "B", None), (3, "C", ""), (4, "D", "<table id='news'>")], "page_id long, ticker string, html string")
+    rows = ingest.parse_pages(pages, lit_ts("2024-12-15 17:00:00")).orderBy("pos").collect()
+    assert [(r["url"], r["headline"]) for r in rows] == [
+        ("https://finviz.com/it's/x y?a=1&b=2", "it'sbig— don’t"), ("https://finviz.com/second", "two")]
+    assert [r["datetime"].hour for r in rows] == [21, 20]
+    plan = ingest.parse_pages(pages, lit_ts("2024-12-15 17:00:00"))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    assert [r["url"] for r in ingest.page_links(pages).orderBy("pos").collect()][:2] == ["https://finviz.com/no", "https://finviz.com/it's/x y?a=1&b=2"]
