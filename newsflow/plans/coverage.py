@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsflow.functions.temporal import age_days
+from newsflow.operators.stage import computed
 
 # Text signs of news and of dates, in order of search.
 NEWS_SIGNS = ["news-table", "fullview-news", "latest news", "news content", "breaking news", "company news"]
@@ -56,24 +57,27 @@ def remaining(universe: DataFrame, done: DataFrame) -> DataFrame:
 
 
 def check_pages(tickers: DataFrame, pages: DataFrame, as_of: Column) -> DataFrame:
-    """Coverage rows (ticker, has_news, reason, checked_at) of the tickers that have a readable page."""
-    checked = pages.select("ticker", news_check(F.col("html")).alias("c"))
-    return (
-        tickers.join(checked, "ticker").where(F.col("c").isNotNull())
-        .select("ticker", "c.has_news", "c.reason", as_of.alias("checked_at"))
-    )
+    """Coverage rows (ticker, has_news, reason, checked_at) of the tickers that have a readable page, one per ticker.
+
+    Only pages of these tickers are searched, each once; of several pages of one ticker one with news counts.
+    """
+    wanted = pages.select("ticker", "html").join(tickers.select("ticker"), "ticker", "left_semi")
+    checked = computed(wanted, {"c": news_check(F.col("html"))}).where("c IS NOT NULL")
+    best = checked.groupBy("ticker").agg(F.max("c").alias("c"))
+    return best.select("ticker", "c.has_news", "c.reason", as_of.alias("checked_at"))
 
 
 def coverage_job(universe: DataFrame, with_news: DataFrame, without: DataFrame, pages: DataFrame, as_of: Column,
                  recheck_days: int | None = None) -> DataFrame:
-    """Coverage after a run: earlier entries plus those of the tickers checked now."""
+    """Coverage after a run: earlier entries plus those of the tickers checked now, which replace older ones."""
     todo = remaining(universe, processed(with_news, without, as_of, recheck_days))
     now = check_pages(todo, pages, as_of)
     kept = with_news.select("ticker", F.lit(True).alias("has_news"), F.lit("cached").alias("reason"),
                             F.lit(None).cast("timestamp").alias("checked_at"))
-    old = without.join(now.select("ticker"), "ticker", "left_anti").select(
-        "ticker", F.lit(False).alias("has_news"), F.lit("cached").alias("reason"), "checked_at")
-    return kept.unionByName(old).unionByName(now)
+    old = without.select("ticker", F.lit(False).alias("has_news"), F.lit("cached").alias("reason"), "checked_at")
+    either = now.withColumn("_now", F.lit(1)).unionByName(old.withColumn("_now", F.lit(0)))
+    latest = either.groupBy("ticker").agg(F.max(F.struct("_now", "has_news", "reason", "checked_at")).alias("c"))
+    return kept.unionByName(latest.select("ticker", "c.has_news", "c.reason", "c.checked_at"))
 
 
 def summary(coverage: DataFrame, universe: DataFrame) -> DataFrame:

@@ -91,15 +91,16 @@ def price_updates(articles: DataFrame, daily: DataFrame, target_rows: int = skew
 def enrich_prices(articles: DataFrame, daily: DataFrame, target_rows: int = skew.TARGET_ROWS) -> DataFrame:
     """The table with price and indicator columns filled for unpriced articles.
 
-    One left join on (ticker, day); days with very many articles are split. Articles without a daily row, and
-    those already priced, keep what they have. A NULL in the daily row overwrites. The join moves every column
-    that is read later; where the text is not needed, prefer `price_updates`.
+    Unpriced articles meet the daily rows in one left join on (ticker, day); days with very many of them are split.
+    Articles without a daily row keep what they have, and those already priced pass by without a shuffle. A NULL in the
+    daily row overwrites. Where the text is not needed, prefer `price_updates`.
     """
     table = _priceable(articles)
     names = table.columns
-    pending = table.withColumn("_ticker", F.when(is_unpriced(), F.col("ticker")))
+    pending = table.where(is_unpriced()).withColumn("_ticker", F.col("ticker"))
     joined, new = _with_daily(pending, daily, "left", target_rows)
-    return guarded_update(joined, F.coalesce("_hit", F.lit(False)), new).select(*names)
+    priced = guarded_update(joined, F.coalesce("_hit", F.lit(False)), new).select(*names)
+    return table.where(~is_unpriced()).select(*names).unionByName(priced)
 
 
 def add_temporal(articles: DataFrame) -> DataFrame:
