@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -268,6 +270,19 @@ def ingest_job(spark, sf_dir):
     return twice.select("url", "ticker", F.coalesce(stamp("datetime"), F.lit("")).alias("datetime"), "headline")
 
 
+@query("q_stored_table", f"""WITH {V_NEWS}, firsts AS (SELECT url, arg_min(struct_pack(dt := dt, headline := headline), (page_id, pos)) AS r FROM v_kept GROUP BY url)
+  SELECT url, {SQL_STAMP.format('r.dt')} AS datetime, {SQL_DAY.format('r.dt')} AS dt, r.headline AS headline FROM firsts""")
+def stored_table(spark, sf_dir):
+    """Create the table, append two ingest runs below its path, read through the table."""
+    path, name = scratch_path(spark, "articles"), f"articles_{uuid.uuid4().hex}"
+    schema.create_articles_table(spark, name, path)
+    rows = ingest.parse_pages(news_pages(spark, sf_dir), F.lit(AS_OF).cast("timestamp"))
+    for part in (rows, rows):
+        sinks.append_articles(spark.table(name), part, path, ["page_id", "pos", "ticker"])
+        schema.refresh_articles_table(spark, name)
+    return spark.table(name).select("url", stamp("datetime").alias("datetime"), F.date_format("dt", "yyyy-MM-dd").alias("dt"), "headline")
+
+
 # --- coverage ---------------------------------------------------------------------------------------------------
 
 # Four kinds of pages: full news table, one-row table, news words with a date, news words without one; then raw pages.

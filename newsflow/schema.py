@@ -95,6 +95,11 @@ def create_articles_table(spark: SparkSession, name: str = "articles", path: str
     )
 
 
+def refresh_articles_table(spark: SparkSession, name: str = "articles") -> None:
+    """Make days that were appended below the table's path known to it."""
+    spark.sql(f"MSCK REPAIR TABLE {name}")
+
+
 def ensure_columns(df: DataFrame, columns: dict[str, str] = HEALED) -> DataFrame:
     """Add the columns the frame lacks, as NULL of the right type; names compare without case."""
     have = {c.lower() for c in df.columns}

@@ -18,11 +18,16 @@ def with_ids(new: DataFrame, url: str = "url") -> DataFrame:
     return new.withColumn("id", F.xxhash64(url))
 
 
+def stored_layout(rows: DataFrame) -> DataFrame:
+    """Rows with their day `dt`, brought together by day: few files a day, and a day with very many rows is split."""
+    return rows.withColumn("dt", F.to_date("datetime")).hint("rebalance", "dt")
+
+
 def append_articles(table: DataFrame, new: DataFrame, path: str, order: Sequence[Column | str]) -> int:
-    """Append the rows an insert-ignore would add and return their number."""
+    """Append the rows an insert-ignore would add, in the layout of the stored table, and return their number."""
     rows = pad_articles(with_ids(insert_ignore(table, new, "url", order))).withColumn("created_at", F.current_timestamp())
     written = Observation()
-    rows.observe(written, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(path)
+    stored_layout(rows).observe(written, F.count(F.lit(1)).alias("n")).write.mode("append").partitionBy("dt").parquet(path)
     return written.get["n"]
 
 
@@ -31,8 +36,7 @@ def write_version(df: DataFrame, path: str, by_date: bool = True) -> None:
     if not by_date:
         df.write.mode("errorifexists").parquet(path)
         return
-    dated = df.withColumn("dt", F.to_date("datetime"))
-    dated.write.mode("errorifexists").partitionBy("dt").parquet(path)
+    stored_layout(df).write.mode("errorifexists").partitionBy("dt").parquet(path)
 
 
 def export_filter(mode: str = "all") -> Column:

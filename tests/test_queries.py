@@ -12,7 +12,7 @@ SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 QUERIES, ORACLES = load()
 MODELS = {"q_train_score", "q_backfill", "q_regressor", "q_text_model"}
 # The only queries that leave the JVM: the scorer job, by design, and the parser of pages.
-PYTHON = {"q_scorer_job", "q_page_links", "q_news_rows", "q_ingest_job"}
+PYTHON = {"q_scorer_job", "q_page_links", "q_news_rows", "q_ingest_job", "q_stored_table"}
 
 
 @pytest.fixture(scope="module")
