@@ -121,16 +121,24 @@ def latest(spark, sf_dir):
     return rows.select(F.lit("row").alias("kind"), F.col("id").cast("string").alias("value")).unionByName(values)
 
 
-@query("q_export", f"""WITH {V_STAGES} SELECT id, ticker, {STAMP} AS datetime, headline, url, round(sentiment_combined, 9) AS sentiment_combined,
-  price_close, sentiment_category FROM v_stages WHERE sentiment_combined IS NOT NULL AND price_close IS NOT NULL""")
-def export(spark, sf_dir):
-    df = schema.pad_articles(staged(spark, sf_dir))
-    path = scratch_path(spark, "export")
-    sinks.export_csv(df, path, "complete")
-    back = sinks.read_export(spark, path)
-    return back.select("id", F.coalesce("ticker", F.lit("")).alias("ticker"), stamp("datetime").alias("datetime"),
-                       F.coalesce("headline", F.lit("")).alias("headline"), "url",
-                       F.round("sentiment_combined", 9).alias("sentiment_combined"), "price_close", "sentiment_category")
+def _export(mode: str, where: str):
+    """Register the export of a mode: written as CSV, read back."""
+
+    @query("q_export" if mode == "complete" else f"q_export_{mode}", f"""WITH {V_STAGES} SELECT id, coalesce(ticker, '') AS ticker, {STAMP} AS datetime,
+      coalesce(headline, '') AS headline, url, round(sentiment_combined, 9) AS sentiment_combined, price_close, sentiment_category FROM v_stages WHERE {where}""")
+    def export(spark, sf_dir):
+        df = schema.pad_articles(staged(spark, sf_dir))
+        path = scratch_path(spark, "export")
+        sinks.export_csv(df, path, mode)
+        back = sinks.read_export(spark, path)
+        return back.select("id", F.coalesce("ticker", F.lit("")).alias("ticker"), stamp("datetime").alias("datetime"),
+                           F.coalesce("headline", F.lit("")).alias("headline"), "url",
+                           F.round("sentiment_combined", 9).alias("sentiment_combined"), "price_close", "sentiment_category")
+
+
+_export("complete", "sentiment_combined IS NOT NULL AND price_close IS NOT NULL")
+_export("all", "true")
+_export("predicted", "sentiment_category IS NOT NULL")
 
 
 @query("q_upsert", """WITH up AS (SELECT doc_id AS id, CASE WHEN quality = 1 THEN 'Signal' END AS c, toxic / 2.0::DOUBLE AS m FROM labels

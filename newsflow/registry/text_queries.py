@@ -15,7 +15,8 @@ from newsflow.plans import report
 from newsflow.plans.scoring import category_share, score_articles, score_columns
 from newsflow.registry import views
 from newsflow.registry.base import SQL_STAMP, query, rounded, stamp
-from newsflow.sources.tables import lexicon_weights
+from newsflow.session import scratch_path
+from newsflow.sources.tables import lexicon_weights, read_lexicon
 
 LEXICON = views.lexicon_entries()
 
@@ -139,7 +140,7 @@ v_grown AS (SELECT keyword, arg_max(weight, line) AS weight FROM (
   FROM v_lines WHERE keyword <> '') WHERE weight IS NOT NULL GROUP BY keyword)"""
 
 
-def grown_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+def grown_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = views.table(spark, sf_dir, "documents"), views.table(spark, sf_dir, "labels")
     words = F.regexp_extract_all("text", F.lit(r"(?U)(\w+)"), F.lit(1))
     pair = F.when(F.col("doc_id") % 2 == 0, F.array_join(F.slice(words, 1, 2), " ")).otherwise(F.array_join(F.slice(words, 1, 2), "-"))
@@ -150,7 +151,11 @@ def grown_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     single = docs.where(F.size(words) > 0).select(
         words[0].alias("keyword"), F.when(F.col("n_chars") % 2 == 0, "positive").otherwise("negative").alias("sentiment"),
         (F.lit(1.0) + (F.col("n_chars") % 10) / 10.0).alias("strength"), (F.lit(1_000_000_000_000) + F.col("doc_id")).alias("line"))
-    return lexicon_weights(labelled.unionByName(single).where("keyword <> ''"), "line")
+    return labelled.unionByName(single).where("keyword <> ''")
+
+
+def grown_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexicon_weights(grown_lines(spark, sf_dir), "line")
 
 
 @query("q_lexicon_load", f"WITH {V_GROWN} SELECT keyword, round(weight, 6) AS weight FROM v_grown")
@@ -158,6 +163,16 @@ def lexicon_load(spark, sf_dir):
     return rounded(grown_lexicon(spark, sf_dir), {"weight": 6})
 
 
+@query("q_lexicon_file", f"WITH {V_GROWN} SELECT keyword, round(weight, 6) AS weight FROM v_grown")
+def lexicon_file(spark, sf_dir):
+    """The lines as a CSV file with its columns in another order, read by their names."""
+    path = scratch_path(spark, "lexicon")
+    # A lexicon is one small file.
+    lines = grown_lines(spark, sf_dir).repartition(1).sortWithinPartitions("line").select("strength", F.col("sentiment").alias("Sentiment"), "keyword")
+    lines.write.options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    return rounded(read_lexicon(spark, path), {"weight": 6})
+
+
 @query("q_lexicon_score_grown", f"WITH {V_TEXT},{V_GROWN},{sql_lexicon_score('v_grown')} SELECT id, round(kw, 9) AS score FROM v_kw")
 def lexicon_score_grown(spark, sf_dir):
     # The lexicon grows with the data, so it is joined and never written into the plan.
@@ -298,6 +313,6 @@ def sentiment_histogram(spark, sf_dir):
 
 @query("q_confidence_points", f"""WITH {V_SCORED} SELECT id, sentiment_combined, ml_confidence,
   coalesce(sentiment_category, 'Unprocessed') AS sentiment_category, ticker, headline FROM v_scored
-  WHERE coalesce(ml_confidence, 0) >= 0.5""")
+  WHERE coalesce(ml_confidence, 0) >= 0.15""")
 def points(spark, sf_dir):
-    return report.confidence_points(report.filtered(scored_articles(spark, sf_dir)))
+    return report.confidence_points(report.filtered(scored_articles(spark, sf_dir), min_confidence=0.15))
