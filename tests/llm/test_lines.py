@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+from functools import partial
 from itertools import combinations
 
 import pytest
@@ -72,9 +73,11 @@ def with_key(spark, docs):
     return df, [tuple(r) for r in df.select("doc_id", "text", F.xxhash64("text")).collect()]
 
 
-@pytest.mark.parametrize("part_lines", [4, 500])
-def test_groups_against_brute_force(spark, monkeypatch, part_lines):
+@pytest.mark.parametrize("part_lines,small_cell", [(4, 32), (500, 2), (500, 32)])
+def test_groups_against_brute_force(spark, monkeypatch, part_lines, small_cell):
     ready(spark)
+    # Task code reads the constants where it runs, so the worker gets them with its function.
+    monkeypatch.setattr(lines, "_verified", partial(lines._verified, small_cell=small_cell))
     monkeypatch.setattr(lines, "PART_LINES", part_lines)
     rng = random.Random(2)
     words = [f"{a}{b}" for a in ("ba", "co", "du", "fe", "gi") for b in ("rt", "nel", "stom", "k", "")]
@@ -93,8 +96,6 @@ def test_groups_against_brute_force(spark, monkeypatch, part_lines):
     want = expected(keyed)
     rows = lines.dedupe(df).collect()
     assert len(rows) == len(docs) and rows[0].asDict().keys() >= {"doc_id", "text", "keep", "k1", "n_removed"}
-
-
     want_rows = sorted(map(str, (want[d, t] for d, t in docs)))
     got_rows = sorted(str((r["text"], r[-2], r[-1])) for r in rows)
     assert got_rows == want_rows
