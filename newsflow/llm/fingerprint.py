@@ -1,16 +1,18 @@
 """Homomorphic multiset fingerprints of documents.
 
 Every paragraph is hashed to a wide vector; a document's fingerprint is the sum of its paragraphs' vectors modulo
-2^16 per lane. Order does not matter, and a paragraph is put in or taken out by adding or subtracting its vector.
+2^16 per lane (2^32 in the like lanes). Order does not matter, and a paragraph is put in or taken out by adding or subtracting its vector.
 A vector has two parts: EXACT_LANES uniform lanes of the whole paragraph, which tell multisets of paragraphs
-apart, and LIKE_LANES lanes that sum a +1 or -1 per word shingle of the paragraph, whose differences measure
-how many shingles two documents do not share.
+apart, and LIKE_LANES lanes of twice the width that sum a Cauchy value per word shingle of the paragraph. Such sums
+are spread by the sum of absolute differences, so they measure how many shingles two documents do not share, a
+shingle repeated m times m times, within a paragraph or over many.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -23,11 +25,17 @@ from newsflow.llm.common import batch, parts_for, texts_of
 
 EXACT_LANES = 64
 LIKE_LANES = 128
-LANES = EXACT_LANES + LIKE_LANES
+# Low halves of the like lanes, then their high halves.
+LANES = EXACT_LANES + 2 * LIKE_LANES
 SHINGLE_WORDS = 3
 # The last lane pair holds the number of shingles, so likeness needs nothing but two fingerprints.
 COUNT_LANES = 2
 WIDTH = LANES + COUNT_LANES
+# Cauchy values are whole numbers in units of 1 / SCALE, up to MOST in size.
+SCALE = 16
+MOST = 1 << 22
+# Shingles taken through all lanes in one array step.
+STEP_SHINGLES = 512
 
 
 def paragraphs(text: str) -> list[str]:
@@ -43,23 +51,55 @@ def shingles(paragraph: bytes) -> list[bytes]:
     return list(map(b" ".join, zip(*[words[i:] for i in range(SHINGLE_WORDS)])))
 
 
+@cache
+def _cauchy() -> tuple[np.ndarray, np.ndarray]:
+    """(odd factor of each lane, Cauchy value of each 16-bit number), the same in every task."""
+    factors = np.random.default_rng(13).integers(0, 2 ** 31, LIKE_LANES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+    values = np.tan(np.pi * ((np.arange(65_536) + 0.5) / 65_536 - 0.5))
+    return factors, np.rint(SCALE * values).astype(np.int32)
+
+
+def _cauchy_sums(hashes: np.ndarray) -> np.ndarray:
+    """Sum over 32-bit hashes of their Cauchy value in each lane, modulo 2^32."""
+    factors, values = _cauchy()
+    total = np.zeros(LIKE_LANES, dtype=np.int32)
+    for i in range(0, len(hashes), STEP_SHINGLES):
+        mixed = hashes[i:i + STEP_SHINGLES, None] * factors
+        at = (mixed >> np.uint32(16)).astype(np.uint16)
+        found = values.take(at)
+        # The two outermost numbers hold the long tails: the lower bits say how far out.
+        ends = np.flatnonzero((at + np.uint16(1)).ravel() <= 1)
+        if len(ends):
+            rest = ((mixed.ravel()[ends] & np.uint32(0xFFFF)).astype(np.float64) + 0.5) / 65_536
+            out = np.minimum(1 / np.tan(np.pi * rest / 65_536), MOST)
+            found.ravel()[ends] = np.rint(SCALE * np.where(at.ravel()[ends] == 0, -out, out)).astype(np.int32)
+        total += found.sum(axis=0, dtype=np.int32)
+    return total.astype(np.int64)
+
+
 def vector(parts: Iterable[str]) -> np.ndarray:
     """Sum of the vectors of paragraphs, modulo 2^16 per lane."""
     total = np.zeros(WIDTH, dtype=np.int64)
-    digests, count = [], 0
+    hashes: list[int] = []
     for part in parts:
         data = part.encode("utf-8", "surrogatepass")
         total[:EXACT_LANES] += np.frombuffer(hashlib.shake_128(data).digest(2 * EXACT_LANES), dtype="<u2")
-        found = shingles(data)
-        digests += map(xxhash.xxh3_128_digest, found)
-        count += len(found)
-    for i in range(0, len(digests), 32_768):
-        bits = np.unpackbits(np.frombuffer(b"".join(digests[i:i + 32_768]), np.uint8).reshape(-1, LIKE_LANES // 8), axis=1)
-        total[EXACT_LANES:LANES] += 2 * bits.sum(axis=0, dtype=np.int64) - len(bits)
-    total[LANES:] = count & 0xFFFF, count >> 16
+        hashes += map(xxhash.xxh32_intdigest, shingles(data))
+    _set_sums(total, _cauchy_sums(np.array(hashes, dtype=np.uint32)))
+    total[LANES:] = len(hashes) & 0xFFFF, len(hashes) >> 16
     return total.astype(np.uint64).astype(np.uint16)
 
 
+def _set_sums(v: np.ndarray, sums: np.ndarray) -> None:
+    v[EXACT_LANES:EXACT_LANES + LIKE_LANES] = sums & 0xFFFF
+    v[EXACT_LANES + LIKE_LANES:LANES] = sums >> 16 & 0xFFFF
+
+
+def _sums(v: np.ndarray) -> np.ndarray:
+    """Like lanes modulo 2^32."""
+    return v[EXACT_LANES:EXACT_LANES + LIKE_LANES].astype(np.int64) | v[EXACT_LANES + LIKE_LANES:LANES].astype(np.int64) << 16
+
+
 def document_vector(text: str | None) -> np.ndarray:
     return vector(paragraphs(text or ""))
 
@@ -70,6 +110,7 @@ def _count(v: np.ndarray) -> int:
 
 def _add(a: np.ndarray, b: np.ndarray, sign: int) -> np.ndarray:
     out = (a.astype(np.int64) + sign * b.astype(np.int64)) & 0xFFFF
+    _set_sums(out, _sums(a) + sign * _sums(b))
     count = _count(a) + sign * _count(b)
     out[LANES:] = count & 0xFFFF, count >> 16 & 0xFFFF
     return out.astype(np.uint16)
@@ -88,16 +129,29 @@ def remove(fingerprint: np.ndarray, *parts: str) -> np.ndarray:
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
     """Share of shingles two documents have in common, 0 to 1, 1 for equal fingerprints.
 
-    The squared difference per lane is the number of shingles that only one of them has, give or take the
-    sampling error of LIKE_LANES lanes (an eighth).
+    The differences per lane are Cauchy values, spread by the number of shingles that only one of them has, repeats
+    included. Their most likely spread gives it, give or take the sampling error of LIKE_LANES lanes (an eighth).
     """
     if np.array_equal(a, b):
         return 1.0
     total = _count(a) + _count(b)
     if not total:
         return 0.0
-    gap = (a[EXACT_LANES:LANES] - b[EXACT_LANES:LANES]).astype(np.int16).astype(np.float64)
-    return float(min(1.0, max(0.0, 1.0 - float(np.mean(gap * gap)) / total)))
+    gap = np.abs((_sums(a) - _sums(b)).astype(np.uint32).astype(np.int32).astype(np.float64)) / SCALE
+    return float(min(1.0, max(0.0, 1.0 - _spread(gap) / total)))
+
+
+def _spread(sizes: np.ndarray) -> float:
+    """Most likely scale of Cauchy values of these sizes."""
+    low, high = 0.0, float(sizes.max())
+    squares = sizes * sizes
+    for _ in range(40):
+        middle = (low + high) / 2
+        if np.sum(squares / (squares + middle * middle + 1e-12)) > len(sizes) / 2:
+            low = middle
+        else:
+            high = middle
+    return high
 
 
 def text_form(v: np.ndarray) -> str:
