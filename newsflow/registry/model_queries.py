@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import random
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -132,20 +130,15 @@ def reg_metrics(spark, sf_dir):
 
 # --- trained models -----------------------------------------------------------------------------------------------
 
-def short_trial(rng: random.Random) -> dict:
-    """A draw from the same ranges with a tenth of the iterations, so that a check run stays short."""
-    trial = train.draw_trial(rng)
-    return {**trial, "maxIter": trial["maxIter"] // 10, "leaves": 16}
-
-
-def _classifier(spark, sf_dir, trials: int = 1) -> train.Trained:
-    return train.fit_classifier(views.training(spark, sf_dir), FEATURES, trials=trials, draw=short_trial)
+def _classifier(spark, sf_dir) -> train.Trained:
+    """The full search of train_classifier, with its own defaults."""
+    return train.fit_classifier(views.training(spark, sf_dir), FEATURES)
 
 
 @query("q_train_score")
 def train_score(spark, sf_dir):
     """Search, fit and score: label and confidence of every labelled document."""
-    trained = _classifier(spark, sf_dir, trials=2)
+    trained = _classifier(spark, sf_dir)
     return train.predict_signals(views.training(spark, sf_dir).drop("label"), trained.package)
 
 
@@ -166,7 +159,7 @@ def regressor(spark, sf_dir):
     gate = _classifier(spark, sf_dir).package
     frame = views.training(spark, sf_dir).withColumns({
         "headline": F.lit(""), "pct_change_eod": (F.col("n_words") % 41 - 20.0) / 10.0})
-    trained = train.fit_regressor(frame, gate, views.FEATURES, "pct_change_eod", estimator=train.forest(trees=20))
+    trained = train.fit_regressor(frame, gate, views.FEATURES, "pct_change_eod")
     path = scratch_path(spark, "check")
     sinks.write_prediction_check(train.prediction_check(trained), path)
     return spark.read.option("header", True).option("inferSchema", False).csv(path).select(
