@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsflow.llm import bpe, covertree, fim, fingerprint, langid, licenses, lines, packing, simhash, suffix, warc
+from newsflow.llm import bpe, covertree, fim, fingerprint, langid, licenses, lines, packing, simhash, suffix, warc, whitening
 from newsflow.llm.common import ready, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -136,3 +136,10 @@ def fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select(
         "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
         F.sha2(fim.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+@query("op11_embedding_whitening")
+def embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    white = whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    # Null where the sum does not fit a long.
+    return white.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
