@@ -58,3 +58,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Rows written to the shared folder and read back: no lineage, true sizes for the optimizer.
+
+    Loops over joins need it: a checkpoint keeps the size estimate of its plan, which is multiplied up from round to
+    round until planning alone takes minutes. Partitions and order are not kept.
+    """
+    path = scratch_path(df.sparkSession, "rows")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
