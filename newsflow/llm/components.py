@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsflow.operators.skew import salted_join
-from newsflow.session import cut_lineage
+from newsflow.session import stored
 
 
 def _lowest(edges: DataFrame) -> DataFrame:
@@ -38,14 +38,14 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
 
     Links with a null end and links of a node to itself are left out; repeated links count once; no links
     give an empty table. Each round is a few joins on the node, hot nodes split; the number of rounds grows
-    with the logarithm of the longest chain. Rounds are cut with reliable checkpoints.
+    with the logarithm of the longest chain. Rounds are written tables.
     """
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(
         F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).distinct()
-    edges = cut_lineage(edges)
+    edges = stored(edges)
     before = _signature(edges)
     while before[0]:
-        edges = cut_lineage(_small_star(_large_star(edges)))
+        edges = stored(_small_star(_large_star(edges)))
         after = _signature(edges)
         if after == before:
             break

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsflow.llm import bpe, covertree, fim, fingerprint, langid, licenses, lines, packing, simhash, suffix, warc, whitening
+from newsflow.llm import (
+    bitminhash, bpe, covertree, fim, fingerprint, langid, licenses, lines, packing, simhash, suffix, warc, whitening,
+)
 from newsflow.llm.common import ready, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -143,3 +145,8 @@ def embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     white = whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
     # Null where the sum does not fit a long.
     return white.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
+@query("op12_minhash_near_dedup")
+def minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitminhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
