@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsflow.functions import temporal
@@ -21,6 +21,8 @@ from newsflow.schema import CONTEXT, INDICATORS as INDICATOR_TYPES, OUTCOME, PRI
 MAX_CALENDAR_DAYS = 200_000
 CONTEXT_TOLERANCE_DAYS = 5
 TICK_TOLERANCE_SECONDS = 300
+# Days ahead of an article that its outcomes may need: from a Friday after the close to the next Friday.
+HORIZON_DAYS = 7
 BARS = ("open", "high", "low", "close", "volume")
 
 
@@ -207,6 +209,23 @@ def asof_join_span(ticks: DataFrame) -> tuple[Column, Column] | None:
     return None if row["a"] is None else (F.timestamp_micros(F.lit(row["a"])), F.timestamp_micros(F.lit(row["b"])))
 
 
+def horizon_table(
+    closes: DataFrame, by: Sequence[str], end: Column, days: int = HORIZON_DAYS, date_col: str = "date",
+) -> DataFrame:
+    """One row per key and calendar day with `_ahead`: the closes of the day and of each of the `days` days after it.
+
+    Closes are filled forward to `end` and NULL after it. Days ahead of a key's first close are there as well, as far as that
+    close lies within the horizon. A key has one row per day, so its window is a calendar, whatever the number of articles.
+    """
+    by = list(by)
+    # A key's calendar starts early, so that a day before the first close sees it ahead.
+    starts = closes.groupBy(*by).agg(F.date_sub(F.min(date_col), days).alias(date_col)).withColumn("close", F.lit(None).cast("double"))
+    dense = densify(closes.select(*by, date_col, "close").unionByName(starts), by, date_col, ["close"], end)
+    order = Window.partitionBy(*by).orderBy(date_col)
+    ahead = [F.col("close"), *[F.lead("close", k).over(order) for k in range(1, days + 1)]]
+    return dense.select(*by, date_col, F.array(*ahead).alias("_ahead"))
+
+
 def add_outcomes(
     articles: DataFrame, index_daily: DataFrame, as_of: dt.date | str, ticks: DataFrame | None = None,
     by: Sequence[str] = (), target_rows: int = skew.TARGET_ROWS,
@@ -216,6 +235,9 @@ def add_outcomes(
     `index_daily` is (date, close) of one index, or with `by=["ticker"]` (ticker, date, close) to measure each
     article against its own ticker. The price at the article time is the nearest tick inside the span of the
     ticks, else the close of the article's day. Rows without an end-of-day outcome are not touched.
+
+    All daily closes of an article come from one row of the horizon table, so there is one join on (key, day), and only
+    rows that still lack an outcome take part in it.
     """
     table = ensure_columns(articles, {c: OUTCOME[c] for c in (
         "pct_change_1h", "pct_change_4h", "pct_change_eod", "pct_change_eow")})
@@ -227,33 +249,37 @@ def add_outcomes(
     first, last = span[0], max(span[1], _day(as_of) + dt.timedelta(days=1))
     keyed_daily = index_daily.select(*by, "date", "close") if by else index_daily.select(
         F.lit(0).alias("_s"), "date", "close")
-    closes = densify(keyed_daily, by or ["_s"], "date", ["close"], lit_date(last)).drop("_s")
+    horizon = horizon_table(keyed_daily, by or ["_s"], lit_date(last)).drop("_s").withColumnRenamed("date", "_key")
 
-    df = table
+    todo = table.where(lacks_outcome())
     if ticks is None:
-        df = df.withColumns({c: F.lit(None).cast("double") for c in ("tick_now", "tick_1h", "tick_4h")})
+        todo = todo.withColumns({c: F.lit(None).cast("double") for c in ("tick_now", "tick_1h", "tick_4h")})
+    else:
+        looked = tick_lookups(todo.select("id", "datetime"), ticks, target_rows=target_rows)
+        todo = todo.join(looked, "id", "left")
+    day = F.to_date("datetime")
+    todo = todo.withColumn("_key", F.greatest(F.least(day, lit_date(last)), lit_date(first)))
+    if by:
+        todo = skew.salted_join(todo, horizon, [*by, "_key"], ["id"], "left", target_rows)
     else:
-        todo = table.where(lacks_outcome()).select("id", "datetime")
-        df = df.join(tick_lookups(todo, ticks, target_rows=target_rows), "id", "left")
-    day, eod, eow = F.to_date("datetime"), temporal.eod_date(F.col("datetime")), temporal.eow_date(F.col("datetime"))
-    df = df.withColumn("_todo", lacks_outcome()).withColumns({
-        "_k_now": F.least(day, lit_date(last)),
-        "_k_eod": F.greatest(eod, lit_date(first)),
-        "_k_eow": F.greatest(eow, lit_date(first)),
-    })
-    for name in ("now", "eod", "eow"):
-        side = closes.select(
-            *by, F.col("date").alias(f"_k_{name}"), F.col("close").alias(f"_p_{name}"))
-        if by:
-            df = skew.salted_join(df, side, [*by, f"_k_{name}"], ["id"], "left", target_rows)
-        else:
-            df = df.join(broadcast_calendar(side, first, last), f"_k_{name}", "left")
-    now = F.coalesce("tick_now", "_p_now")
+        todo = todo.join(broadcast_calendar(horizon, first, last), "_key", "left")
+
+    def close_on(target: Column) -> Column:
+        """Close on a day; days before the calendar count as its first day."""
+        place = F.date_diff(F.greatest(target, lit_date(first)), F.col("_key"))
+        return F.when((place >= 0) & (place <= HORIZON_DAYS), F.get("_ahead", place))
+
+    own = F.when(day >= lit_date(first), F.get("_ahead", F.lit(0)))
+    todo = todo.withColumns({
+        "_now": F.coalesce("tick_now", own), "_p_eod": close_on(temporal.eod_date(F.col("datetime"))),
+        "_p_eow": close_on(temporal.eow_date(F.col("datetime")))})
+    now = F.col("_now")
     changes = {
         "pct_change_1h": temporal.pct_change(F.col("tick_1h"), now),
         "pct_change_4h": temporal.pct_change(F.col("tick_4h"), now),
         "pct_change_eod": temporal.pct_change(F.col("_p_eod"), now),
         "pct_change_eow": temporal.pct_change(F.col("_p_eow"), now),
     }
-    settled = F.col("_todo") & now.isNotNull() & F.col("_p_eod").isNotNull()
-    return guarded_update(df, settled, changes).select(*names)
+    settled = now.isNotNull() & F.col("_p_eod").isNotNull()
+    done = guarded_update(todo, settled, changes).select(*names)
+    return table.where(~lacks_outcome()).select(*names).unionByName(done)

@@ -217,6 +217,26 @@ def outcome_ticker(spark, sf_dir):
     return rounded(out.select("id", "pct_change_eod", "pct_change_eow"), {"pct_change_eod": 6, "pct_change_eow": 6})
 
 
+# Every event is an article here; its outcomes take ticks where there are any near, and the closes of the index.
+V_JOB_TICKS = views.V_TICKS.replace("WHERE event_type = 'signup'", "")
+
+
+@query("q_outcome_job", f"""WITH {V_JOB_TICKS}, {views.V_EVENT_INDEX}, now AS {_sql_near('q.dt')}, h1 AS {_sql_near("(q.dt + INTERVAL 1 HOUR)")},
+  h4 AS {_sql_near("(q.dt + INTERVAL 4 HOUR)")},
+  k AS (SELECT id, dt, CAST(dt AS DATE) AS d0, CAST(dt AS DATE) + CASE WHEN hour(dt) >= 16 THEN 1 ELSE 0 END AS d1, {EOW} AS d2 FROM v_news_ticks),
+  p AS (SELECT k.id, coalesce(CASE WHEN k.dt BETWEEN (SELECT min(ts) FROM v_ticks) AND (SELECT max(ts) FROM v_ticks) THEN now.close END, a.close) AS p0,
+    CASE WHEN h1.gap < INTERVAL 300 SECOND THEN h1.close END AS p1, CASE WHEN h4.gap < INTERVAL 300 SECOND THEN h4.close END AS p4,
+    coalesce(b.close, (SELECT arg_min(close, date) FROM v_event_index)) AS pd, coalesce(c.close, (SELECT arg_min(close, date) FROM v_event_index)) AS pw
+    FROM k JOIN now USING (id) JOIN h1 USING (id) JOIN h4 USING (id)
+    ASOF LEFT JOIN v_event_index a ON k.d0 >= a.date ASOF LEFT JOIN v_event_index b ON k.d1 >= b.date ASOF LEFT JOIN v_event_index c ON k.d2 >= c.date)
+  SELECT id, round(CASE WHEN p0 <> 0 THEN (p1 - p0) / p0 * 100 END, 6) AS pct_change_1h, round(CASE WHEN p0 <> 0 THEN (p4 - p0) / p0 * 100 END, 6) AS pct_change_4h,
+    round(CASE WHEN p0 <> 0 THEN (pd - p0) / p0 * 100 END, 6) AS pct_change_eod, round(CASE WHEN p0 <> 0 THEN (pw - p0) / p0 * 100 END, 6) AS pct_change_eow FROM p""")
+def outcome_job(spark, sf_dir):
+    events = views.table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("datetime"))
+    out = enrich.add_outcomes(events, views.event_index(spark, sf_dir), "2035-01-31", views.ticks(spark, sf_dir))
+    return rounded(out, {c: 6 for c in ("pct_change_1h", "pct_change_4h", "pct_change_eod", "pct_change_eow")}).drop("datetime")
+
+
 V_PATCH = views.V_ARTICLES + """,
 v_patch AS (SELECT id, ticker, dt, CASE WHEN n_chars % 3 = 0 THEN n_chars / 10.0::DOUBLE END AS rsi_14,
   CASE WHEN lang = 'de' THEN n_chars / 100.0::DOUBLE END AS vix_close FROM v_articles)"""

@@ -110,6 +110,15 @@ def tick_news(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("datetime"))
 
 
+def event_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Average event value by working day: stands for the index the ticks belong to."""
+    at = F.col("ts").cast("timestamp")
+    return table(spark, sf_dir, "events").where(F.weekday(at) < 5).groupBy(F.to_date(at).alias("date")).agg(F.avg("value").alias("close"))
+
+
+V_EVENT_INDEX = """
+v_event_index AS (SELECT CAST(ts AS DATE) AS date, avg(value) AS close FROM events WHERE isodow(ts) < 6 GROUP BY 1)"""
+
 V_TICKS = """
 v_ticks AS (SELECT ts, max(value) AS close FROM events WHERE event_type = 'view' GROUP BY ts),
 v_news_ticks AS (SELECT event_id AS id, ts AS dt FROM events WHERE event_type = 'signup')"""
