@@ -8,14 +8,44 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsflow.operators import skew
+from newsflow.operators.keys import null_safe_join
 
 BUCKET = "_bucket"
+CELL = "_cell_no"
+# Equal parts of a bucket its cells are made of: seconds of a day.
+SLICES = 86_400
 
 
 def _micros(col: str | Column) -> Column:
     return F.unix_micros(F.col(col) if isinstance(col, str) else col)
 
 
+def cell_borders(times: DataFrame, keys: Sequence[str], width: int, target_rows: int) -> DataFrame:
+    """(keys, _starts): for each bucket with more than `target_rows` rows the starts of its cells, without the bucket's own.
+
+    A bucket has SLICES equal slices. They are counted, and a cell begins where the running count passes a multiple of the
+    target; a bucket of n rows has at most n / target_rows + 1 cells, so all lists together stay as short as the list of
+    hot keys.
+    """
+    hot = skew.hot_groups(times, keys, target_rows).drop(skew.PARTS)
+    step = max(1, width // SLICES)
+    named = hot.select(*[F.col(k).alias(f"_h_{k}") for k in keys])
+    same = [F.col(k).eqNullSafe(F.col(f"_h_{k}")) for k in keys]
+    inside = times.join(F.broadcast(named), same, "left_semi")
+    slices = inside.groupBy(*keys, (F.floor(F.col("_t") / step) * step).alias("_from")).agg(F.count(F.lit(1)).alias("_n"))
+    upto = Window.partitionBy(*keys).orderBy("_from").rowsBetween(Window.unboundedPreceding, -1)
+    cells = slices.withColumn("_no", F.floor(F.coalesce(F.sum("_n").over(upto), F.lit(0)) / target_rows))
+    starts = cells.groupBy(*keys, "_no").agg(F.min("_from").alias("_from"))
+    return starts.where("_no > 0").groupBy(*keys).agg(F.sort_array(F.collect_list("_from")).alias("_starts"))
+
+
+def _in_cells(rows: DataFrame, borders: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Rows with the number of their cell in its bucket."""
+    found = null_safe_join(rows, F.broadcast(borders), [*by, BUCKET])
+    passed = F.size(F.filter("_starts", lambda s: s <= F.col("_t")))
+    return found.withColumn(CELL, F.when(F.col("_starts").isNull(), F.lit(0)).otherwise(passed)).drop("_starts")
+
+
 def asof_join(
     left: DataFrame, right: DataFrame, left_ts: str, right_ts: str, row_id: Sequence[str], payload: Sequence[str],
     by: Sequence[str] = (), direction: str = "backward", tolerance_seconds: float | None = None,
@@ -29,13 +59,15 @@ def asof_join(
     as that, too). `within_range` drops matches of left rows outside the span of the right series. `match_ts`
     names a column for the time of the match. Left rows without a match get NULL.
 
-    Both sides are put in one list per key and time bucket and read in order by a window. Buckets with very
-    many left rows are split, each part with its own copy of the bucket's right rows. Each bucket also gets
-    the last right row before it and the first one after it; they are found on the table of buckets.
+    Both sides are put in one list per key and time cell and read in order by a window. A cell is a time bucket, or
+    where a bucket holds very many rows of either side a run of its slices, so that a cell has about `target_rows` of
+    both. Left rows that crowd in one slice are split once more, each part with its own copy of the slice's right rows,
+    which have different times. Each cell also gets the last right row before it and the first one after it; they
+    are found on the table of cells. Left rows without a time pass by.
     """
     if direction not in ("backward", "forward", "nearest"):
         raise ValueError(f"unknown direction {direction!r}")
-    by, keys = list(by), [*by, BUCKET]
+    by, keys = list(by), [*by, BUCKET, CELL]
     width = bucket_seconds * 1_000_000
     cell = F.struct(F.col("_rt"), *[F.col(c) for c in payload])
 
@@ -48,9 +80,12 @@ def asof_join(
         .agg(*([F.max(payload[0]).alias(payload[0])] if single else [F.max(F.struct(*payload)).alias("_p")]))
         .select(*by, "_rt", *(payload if single else [F.col("_p")[c].alias(c) for c in payload]))
         .withColumn(BUCKET, F.floor(F.col("_rt") / width))
-        .select(*keys, F.col("_rt").alias("_t"), cell.alias("_cell"))
+        .select(*by, BUCKET, F.col("_rt").alias("_t"), cell.alias("_cell"))
     )
-    rows = left.withColumn("_t", _micros(left_ts)).withColumn(BUCKET, F.floor(F.col("_t") / width))
+    timed = left.withColumn("_t", _micros(left_ts)).withColumn(BUCKET, F.floor(F.col("_t") / width))
+    rows = timed.where(F.col("_t").isNotNull())
+    borders = cell_borders(rows.select(*by, BUCKET, "_t").unionByName(points.select(*by, BUCKET, "_t")), [*by, BUCKET], width, target_rows)
+    rows, points = _in_cells(rows, borders, by), _in_cells(points, borders, by)
     counts = skew.group_counts(rows, keys)
     hot = skew.hot_groups(rows, keys, target_rows, counts)
 
@@ -65,7 +100,7 @@ def asof_join(
         .groupBy(*keys)
         .agg(F.first("_head", True).alias("_head"), F.first("_tail", True).alias("_tail"), F.max("_n").alias("_n"))
     )
-    order = Window.partitionBy(*by).orderBy(BUCKET)
+    order = Window.partitionBy(*by).orderBy(BUCKET, CELL)
     carried = listed.select(
         *keys, "_n",
         F.last("_tail", True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("_prev"),
@@ -109,4 +144,7 @@ def asof_join(
         keep = keep & ((gap < limit) if strict else (gap <= limit))
     out = read.withColumn("_hit", F.when(keep, F.col("_hit")))
     extra = [F.timestamp_micros("_hit._rt").alias(match_ts)] if match_ts else []
-    return out.select("_row.*", *[F.col(f"_hit.{c}").alias(c) for c in payload], *extra)
+    out = out.select("_row.*", *[F.col(f"_hit.{c}").alias(c) for c in payload], *extra)
+    timeless = timed.where(F.col("_t").isNull()).select(
+        *left.columns, *[F.lit(None).cast(out.schema[c].dataType).alias(c) for c in (*payload, *([match_ts] if match_ts else []))])
+    return out.union(timeless)
