@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from newsflow.operators.keys import null_safe_join
 from newsflow.operators.order import ordered_chunks, running_totals
 
 
@@ -62,26 +65,28 @@ def classification_report(df: DataFrame, label: str = "label", prediction: str =
     return lines.unionByName(total.select(F.explode(rows).alias("r")).select("r.*"))
 
 
-def precision_recall(df: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
-    """Precision and recall at every distinct score used as a cut (score >= cut).
+def precision_recall(df: DataFrame, score: str = "score", label: str = "label", by: Sequence[str] = ()) -> DataFrame:
+    """Precision and recall at every distinct score used as a cut (score >= cut); with `by` a curve per key.
 
     Rows are first summed per score, so ties are one row; the running sums over falling scores are two-level.
     """
-    per = df.where(F.col(score).isNotNull()).groupBy((-F.col(score)).alias("_neg")).agg(
+    by = list(by)
+    per = df.where(F.col(score).isNotNull()).groupBy(*by, (-F.col(score)).alias("_neg")).agg(
         F.sum(F.col(label).cast("bigint")).alias("tp"), F.count(F.lit(1)).alias("n"))
-    run = running_totals(ordered_chunks(per, ["_neg"]), ["_neg"], {"tp": "_tp", "n": "_n"})
-    # One row per chunk remains in this total.
-    positives = per.agg(F.sum("tp")).first()[0] or 0
+    run = running_totals(ordered_chunks(per, [*by, "_neg"]), ["_neg"], {"tp": "_tp", "n": "_n"}, by=by)
+    # One row per chunk or key remains in this total.
+    positives = per.groupBy(*by).agg(F.sum("tp").cast("double").alias("_pos"))
+    run = null_safe_join(run, positives, by) if by else run.withColumn("_pos", F.lit(float(positives.first()["_pos"] or 0.0)))
     return run.select(
-        (-F.col("_neg")).alias("threshold"), F.try_divide(F.col("_tp").cast("double"), F.col("_n")).alias("precision"),
-        F.try_divide(F.col("_tp").cast("double"), F.lit(float(positives))).alias("recall"),
+        *by, (-F.col("_neg")).alias("threshold"), F.try_divide(F.col("_tp").cast("double"), F.col("_n")).alias("precision"),
+        F.try_divide(F.col("_tp").cast("double"), F.col("_pos")).alias("recall"),
     )
 
 
-def best_f1(curve: DataFrame) -> DataFrame:
-    """Largest F1 of a curve, with the small constant that keeps it defined."""
+def best_f1(curve: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Largest F1 of a curve, or of each curve, with the small constant that keeps it defined."""
     p, r = F.col("precision"), F.coalesce("recall", F.lit(0.0))
-    return curve.agg(F.max(p * r * 2 / (p + r + 1e-8)).alias("best_f1"))
+    return curve.groupBy(*by).agg(F.max(p * r * 2 / (p + r + 1e-8)).alias("best_f1"))
 
 
 def regression_metrics(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:

@@ -6,7 +6,9 @@ import json
 import random
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer, VectorAssembler
@@ -26,6 +28,10 @@ from newsflow.schema import (
 from newsflow.session import cut_lineage, scratch_path
 
 SEED = 42
+# Trials of a search that are fitted at the same time, and rows of a task of a fit: a small frame is one task, so that the
+# many short jobs of a boosted model do not start eight tasks each.
+PARALLELISM = 8
+FIT_ROWS = 50_000
 # Moves in percent that count as significant, and the clip of the regression target. The alternatives are the
 # same numbers read as fractions of a percent.
 SIGNIFICANT_PCT = 1.5
@@ -120,8 +126,42 @@ def boosted_trees(trial: dict) -> GBTClassifier:
     )
 
 
-def validation_f1(scored: DataFrame) -> float:
-    return evaluate.best_f1(evaluate.precision_recall(scored, "probability_1", "label")).first()["best_f1"] or 0.0
+def at_once(spark: SparkSession, work: Callable, items: Sequence, parallelism: int = PARALLELISM) -> list:
+    """`work` of every item, several at the same time; results in the order of the items.
+
+    Each call runs its Spark jobs from a thread of its own, which has the caller's job settings and a fair pool of its own
+    (pools count where spark.scheduler.mode is FAIR; otherwise jobs share free cores as they come).
+    """
+    sc = spark.sparkContext
+
+    def run(numbered):
+        sc.setLocalProperty("spark.scheduler.pool", f"trial-{numbered[0]}")
+        try:
+            return work(numbered[1])
+        finally:
+            sc.setLocalProperty("spark.scheduler.pool", None)
+
+    if parallelism <= 1 or len(items) <= 1:
+        return [work(i) for i in items]
+    with ThreadPool(min(parallelism, len(items))) as pool:
+        return pool.map(inheritable_thread_target(run), list(enumerate(items)), chunksize=1)
+
+
+def for_fit(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """The rows of a frame in one task per FIT_ROWS, kept in memory for the passes of a fit; unpersist it afterwards."""
+    kept = cut_lineage(df)
+    return kept.coalesce(max(1, -(-(kept.count() if rows is None else rows) // FIT_ROWS))).persist()
+
+
+def validation_f1s(later: DataFrame, packages: Sequence[ModelPackage]) -> list[float]:
+    """Best F1 of each model on the validation rows, from one precision-recall curve with the model's number as a key."""
+    scored = None
+    for k, package in enumerate(packages):
+        one = with_probability(later, package).select(F.lit(k).alias("trial"), "probability_1", "label")
+        scored = one if scored is None else scored.unionByName(one)
+    curve = evaluate.precision_recall(scored, "probability_1", "label", by=["trial"])
+    found = {r["trial"]: r["best_f1"] for r in evaluate.best_f1(curve, by=["trial"]).collect()}  # one row per trial
+    return [found.get(k) or 0.0 for k in range(len(packages))]
 
 
 def with_probability(df: DataFrame, package: ModelPackage, out: str = "probability_1") -> DataFrame:
@@ -142,6 +182,7 @@ def train_classifier(
     articles: DataFrame, horizon: str = "eod", features: Sequence[str] = tuple(CLASSIFIER_FEATURES),
     threshold: float = SIGNIFICANT_PCT, trials: int = 15, most_features: int = 15, by: Sequence[str] = ("ticker",),
     fit_on_all: bool = False, draw: Callable[[random.Random], dict] = draw_trial, minimum: int = MIN_TRAINING_ROWS,
+    parallelism: int = PARALLELISM,
 ) -> Trained:
     """Train the signal classifier and search its settings.
 
@@ -154,14 +195,17 @@ def train_classifier(
     rows = training_rows(articles, target, have)
     require_rows(rows, minimum)
     frame = carry_market(rows, by).withColumn("label", significant_move(F.col(target), threshold))
-    return fit_classifier(frame, have, trials, most_features, fit_on_all, draw)
+    return fit_classifier(frame, have, trials, most_features, fit_on_all, draw, parallelism)
 
 
 def fit_classifier(
     frame: DataFrame, features: Sequence[str], trials: int = 15, most_features: int = 15, fit_on_all: bool = False,
-    draw: Callable[[random.Random], dict] = draw_trial,
+    draw: Callable[[random.Random], dict] = draw_trial, parallelism: int = PARALLELISM,
 ) -> Trained:
-    """Search and fit on a frame with `id`, `datetime`, the features and a 0/1 `label`."""
+    """Search and fit on a frame with `id`, `datetime`, the features and a 0/1 `label`.
+
+    The settings are drawn first, so the search does not depend on `parallelism`. Of equal F1 the earlier trial is kept.
+    """
     frame = cut_lineage(frame)  # read once per trial and pass
     point = split_point(frame, "datetime", "id")
     early = is_before(point, "datetime", "id")
@@ -172,18 +216,17 @@ def fit_classifier(
     train = frame.where(early)
     weights = evaluate.class_weights(train)
     scaled = {f"_x_{c}": prep.scaled(c) for c in chosen}
-    train = train.withColumns(scaled).withColumn("_weight", evaluate.weight_column(weights))
+    train = for_fit(train.withColumns(scaled).withColumn("_weight", evaluate.weight_column(weights)))
     later = frame.where(~early)
 
     rng = random.Random(SEED)
-    best = None
-    for _ in range(trials):
-        trial = draw(rng)
-        package = ModelPackage(_fit(boosted_trees(trial), train, chosen), prep, list(features))
-        f1 = validation_f1(with_probability(later, package))
-        if best is None or f1 > best[0]:
-            best = (f1, trial, package)
-    f1, trial, package = best
+    drawn = [draw(rng) for _ in range(trials)]
+    models = at_once(frame.sparkSession, lambda trial: _fit(boosted_trees(trial), train, chosen), drawn, parallelism)
+    train.unpersist()
+    packages = [ModelPackage(model, prep, list(features)) for model in models]
+    scores = validation_f1s(later, packages)
+    f1 = max(scores)
+    package, trial = packages[scores.index(f1)], drawn[scores.index(f1)]
     judged = with_probability(later, package).withColumn("prediction", (F.col("probability_1") > 0.5).cast("int"))
     return Trained(package, evaluate.classification_report(judged), f1, trial)
 
@@ -250,7 +293,9 @@ def fit_regressor(
     fit_rows = gated if fit_on_all else gated.where(early)
     prep = prepare.fit_scaler(fit_rows, prepare.fit_imputer(fit_rows, wanted))
     package = ModelPackage(None, prep, wanted)
-    package.model = _fit(estimator or forest(), package.assembled(gated.where(early)), prep.features)
+    fit_on = for_fit(package.assembled(gated.where(early)))
+    package.model = _fit(estimator or forest(), fit_on, prep.features)
+    fit_on.unpersist()
     judged = with_prediction(gated, package)
     parts = [
         evaluate.regression_metrics(judged.where(cond), "_y", "prediction").withColumn("part", F.lit(name))

@@ -14,7 +14,7 @@ def frames(spark, n=20_000):
     """90 % of the ticks in the third day, most of them in one hour; left rows everywhere, some without a time."""
     rng = random.Random(6)
     seconds = [2 * 86_400 + (rng.randrange(3_600) if rng.random() < 0.8 else rng.randrange(86_400)) + rng.random() for _ in range(n * 9 // 10)]
-    seconds += [rng.randrange(10 * 86_400) for _ in range(n // 10)]
+    seconds += [float(rng.randrange(10 * 86_400)) for _ in range(n // 10)]
     ticks = [("x", ZERO + dt.timedelta(seconds=s), s) for s in seconds]
     left = [(i, "x", ZERO + dt.timedelta(seconds=rng.choice([rng.uniform(0, 864_000), rng.choice(seconds)]))) for i in range(2_000)]
     left += [(i, "x", None) for i in range(2_000, 2_010)] + [(2_010, None, None), (2_011, None, ZERO)]
