@@ -141,18 +141,35 @@ _export("all", "true")
 _export("predicted", "sentiment_category IS NOT NULL")
 
 
-@query("q_upsert", """WITH up AS (SELECT doc_id AS id, CASE WHEN quality = 1 THEN 'Signal' END AS c, toxic / 2.0::DOUBLE AS m FROM labels
+SQL_UPSERT = """WITH up AS (SELECT doc_id AS id, CASE WHEN quality = 1 THEN 'Signal' END AS c, toxic / 2.0::DOUBLE AS m FROM labels
     UNION ALL SELECT doc_id + 1000000000, 'Noise', 1.0 FROM labels)
   SELECT d.doc_id AS id, CASE WHEN up.id IS NOT NULL THEN c ELSE 'old' END AS sentiment_category,
-    CASE WHEN up.id IS NOT NULL THEN m ELSE 0.1 END AS ml_confidence FROM documents d LEFT JOIN up ON up.id = d.doc_id""")
-def upsert(spark, sf_dir):
-    docs = views.articles(spark, sf_dir).select("id", F.lit("old").alias("sentiment_category"), F.lit(0.1).alias("ml_confidence"))
+    CASE WHEN up.id IS NOT NULL THEN m ELSE 0.1 END AS ml_confidence FROM documents d LEFT JOIN up ON up.id = d.doc_id"""
+
+
+def _label_updates(spark, sf_dir) -> DataFrame:
+    """A NULL overwrites, and updates of unknown ids are ignored."""
     lab = views.table(spark, sf_dir, "labels")
-    # A NULL overwrites, and updates of unknown ids are ignored.
     updates = lab.select(F.col("doc_id").alias("id"), F.when(F.col("quality") == 1, "Signal").alias("sentiment_category"),
                          (F.col("toxic") / 2.0).alias("ml_confidence"))
     stray = lab.select((F.col("doc_id") + 1_000_000_000).alias("id"), F.lit("Noise").alias("sentiment_category"), F.lit(1.0).alias("ml_confidence"))
-    return keyed_update(docs, updates.unionByName(stray), ["sentiment_category", "ml_confidence"])
+    return updates.unionByName(stray)
+
+
+@query("q_upsert", SQL_UPSERT)
+def upsert(spark, sf_dir):
+    docs = views.articles(spark, sf_dir).select("id", F.lit("old").alias("sentiment_category"), F.lit(0.1).alias("ml_confidence"))
+    return keyed_update(docs, _label_updates(spark, sf_dir), ["sentiment_category", "ml_confidence"])
+
+
+@query("q_upsert_stored", SQL_UPSERT)
+def upsert_stored(spark, sf_dir):
+    """The same on the stored table: only the days of the updated rows are written anew."""
+    docs = views.articles(spark, sf_dir).select("id", "datetime", F.lit("old").alias("sentiment_category"), F.lit(0.1).alias("ml_confidence"))
+    path = scratch_path(spark, "articles")
+    sinks.write_version(docs, path)
+    sinks.update_stored(spark, path, _label_updates(spark, sf_dir), ["sentiment_category", "ml_confidence"])
+    return spark.read.parquet(path).select("id", "sentiment_category", "ml_confidence")
 
 
 @query("q_reset", f"""WITH {V_STAGES} SELECT id, ticker, headline, url, CAST(NULL AS DOUBLE) AS sentiment_combined, CAST(NULL AS DOUBLE) AS price_close,

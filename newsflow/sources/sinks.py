@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from newsflow.operators.keys import insert_ignore
+from newsflow.operators.keys import first_per_key, insert_ignore, keyed_update
 from newsflow.schema import ARTICLES, EXPORT_COLUMNS, pad_articles, struct_type
+from newsflow.session import scratch_path, stored
 
 EXPORT_MODES = ("all", "complete", "predicted")
 
@@ -39,6 +40,33 @@ def write_version(df: DataFrame, path: str, by_date: bool = True) -> None:
     stored_layout(df).write.mode("errorifexists").partitionBy("dt").parquet(path)
 
 
+def update_stored(
+    spark: SparkSession, path: str, updates: DataFrame, columns: Sequence[str], key: str = "id",
+    order: Sequence[Column | str] = (),
+) -> list:
+    """Set `columns` of stored rows by key, a NULL in the update overwrites; returns the days that were written anew.
+
+    Only the days of the keys that are there are read in full and written: their rows are completed in the shared folder
+    and then take the place of these partitions, so a job that fails changes nothing before that and may run again
+    after it. Keys the table lacks are ignored. With `order` the first update of a key counts, else keys are unique.
+    """
+    table = spark.read.parquet(path)
+    names = table.columns
+    updates = stored(first_per_key(updates, [key], order) if order else updates)
+    # Of the whole table only keys and days are read; there is one day per day of the calendar.
+    days = [r["dt"] for r in table.select(key, "dt").join(updates.select(key), key, "left_semi").select("dt").distinct().collect()]
+    if not days:
+        return []
+    known = [d for d in days if d is not None]
+    inside = F.col("dt").isin(known) if known else F.lit(False)
+    touched = table.where(inside | F.col("dt").isNull() if None in days else inside)
+    staged = scratch_path(spark, "update")
+    keyed_update(touched, updates, columns, key).select(*names).hint("rebalance", "dt").write.partitionBy("dt").parquet(staged)
+    fresh = spark.read.schema(table.schema).parquet(staged)
+    fresh.hint("rebalance", "dt").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dt").parquet(path)
+    return sorted(known) + [None] * (None in days)
+
+
 def export_filter(mode: str = "all") -> Column:
     """Rows of an export mode."""
     if mode not in EXPORT_MODES:
