@@ -122,11 +122,16 @@ class Vocabulary:
                     heapq.heappush(heap, (p, left, ids[left], ids[right]))
         return [i for i in ids if i >= 0]
 
+    def normal(self, chunk: str) -> str:
+        """The text as words are taken from it."""
+        if not self.word_ends:
+            return chunk
+        chunk = unicodedata.normalize("NFC", chunk)
+        return chunk.lower() if chunk.isascii() else "".join([c.lower() for c in chunk])
+
     def words_of(self, chunk: str) -> list[bytes]:
         """Words of a text without special tokens, as the bytes that are merged."""
-        if self.word_ends:
-            chunk = unicodedata.normalize("NFC", chunk)
-            chunk = chunk.lower() if chunk.isascii() else "".join([c.lower() for c in chunk])
+        chunk = self.normal(chunk)
         body = chunk[1:] if chunk[:1] == " " else chunk
         if body.isalpha():
             return [(body if self.word_ends else chunk).encode()]
@@ -242,7 +247,7 @@ class Encoder(dict):
 
     def __missing__(self, chunk: str) -> bytes:
         body, sign = chunk[:-1], chunk[-1:]
-        if sign in self.signs and body.isalpha():  # a word and a sign are two words
+        if sign in self.signs and body.isalpha() and (body.isascii() or self.vocabulary.normal(body).isalpha()):  # a word and a sign are two words
             ids = self[body] + self.signs[sign]
         elif not self.lead and chunk.isascii() and (low := chunk.lower()) != chunk:
             ids = self[low]
