@@ -1,16 +1,17 @@
 """Near-duplicates by b-bit MinHash: bands of minima for candidates, packed low bits for an estimate, full sets for the decision.
 
-A set of word shingles gets BANDS * BAND_ROWS minima. Bands of whole minima name the candidates; of each minimum only the low
+A set of word shingles gets MINIMA minima. Bands of the first of them, whole, name the candidates; of each minimum only the low
 BITS bits are kept, packed into words. Low bits agree with probability C + (1 - C) J, C = 2 ** -BITS, so the share of agreeing
 lanes, counted by bits, estimates the similarity J. Candidates whose estimate is SIGMAS deviations or more below the
 threshold are left out; all others that could still join two groups are confirmed on their full sets.
 
 A linked pair shares no band with probability (1 - 0.8 ** 4) ** 32, 5 in 10 ** 8 at the threshold, and less if it is more alike;
-the estimate leaves one out with probability 10 ** -9.
+the estimate leaves one out with probability 3 in 10 ** 7.
 
-No group is compared pair by pair. Equal sets are one node. A first round links each node to one leader it seems to be like; further
-rounds only look at members of a band value that are not in its largest group yet, and ask for a growing number of pairs per
-node and foreign group until none is left that was not confirmed or refused.
+No group is compared pair by pair. Equal sets are one node. A first round links each node to one leader it seems to be like. The
+second looks at members of a band value outside its largest group, and takes of each other group the member most like
+them. What joins groups is found by then, as a rule, so the third, which takes all candidates of different groups that were
+not judged yet, has few left. Each pair is met in the first band it shares.
 """
 
 from __future__ import annotations
@@ -34,15 +35,13 @@ PERCENT = 80
 BANDS = 32
 BAND_ROWS = 4
 BITS = 4
-MINIMA = BANDS * BAND_ROWS
+MINIMA = 256
 LANES = 64 // BITS
-SIGMAS = 6.0
+SIGMAS = 5.0
 # Members of a band value one task compares; values with more are split.
 PART_MEMBERS = 20_000
 # Pairs of one node whose sets one task confirms; the pairs of nodes with more are split.
 PART_PAIRS = 20_000
-# Pairs per node and foreign group in the first of the later rounds, and the growth from round to round.
-FIRST_PAIRS, GROWTH = 16, 64
 # Texts whose sets are wanted are broadcast by name (24 bytes each) up to this count, joined beyond it.
 BROADCAST_NODES = 1_000_000
 # Hashes, and pairs, taken in one array step.
@@ -91,7 +90,7 @@ def minima(sets: list[np.ndarray]) -> np.ndarray:
 
 def band_keys(low: np.ndarray) -> np.ndarray:
     """Signed key of each band; keys of different bands differ."""
-    rows = low.reshape(len(low), BANDS, BAND_ROWS)
+    rows = low[:, :BANDS * BAND_ROWS].reshape(len(low), BANDS, BAND_ROWS)
     key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), rows.shape[:2])
     for r in range(BAND_ROWS):
         key = (key ^ rows[:, :, r]) * np.uint64(0x9E3779B97F4A7C15)
@@ -210,14 +209,15 @@ def _leaders(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
             left = left[~new & ~follows]
 
 
-def _foreign(batches: Iterator[pa.RecordBatch], percent: int, most_pairs: int) -> Iterator[pa.RecordBatch]:
-    """(a, b, more): for each left member of a cell, of each other group the right members most like it.
+def _foreign(batches: Iterator[pa.RecordBatch], percent: int, nearest: bool) -> Iterator[pa.RecordBatch]:
+    """(a, b): pairs of a left and a right member of a cell that are in different groups, seem alike and share no band before.
 
-    Rows come sorted by cell and side (0 left, 1 right). `more` marks pairs of a node and group that have others still.
+    With `nearest` of each other group only the member most like the left one. Rows come sorted by cell and side (0 left, 1 right).
     """
     most = most_different(percent)
     for t in grouped_rows(batches, "cell"):
-        cell, side, name, n, comp = (t.column(c).to_numpy() for c in ("cell", "side", "name", "n", "comp"))
+        cell, side, name, n, comp, band = (t.column(c).to_numpy() for c in ("cell", "side", "name", "n", "comp", "band"))
+        keys = t.column("keys").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
         sig = _signatures(t)
         lefts, rights = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         first = np.searchsorted(cell[rights], cell[lefts], side="left")
@@ -235,17 +235,16 @@ def _foreign(batches: Iterator[pa.RecordBatch], percent: int, most_pairs: int) -
                                     for k in range(0, len(i), STEP_PAIRS)] or [np.empty(0, np.int64)])
             near = apart <= most
             i, j, apart = i[near], j[near], apart[near]
-            order = np.lexsort((name[j], apart, comp[j], i))
-            i, j = i[order], j[order]
-            new = np.r_[True, (i[1:] != i[:-1]) | (comp[j][1:] != comp[j][:-1])][:len(i)]
-            starts = np.flatnonzero(new)
-            sizes = np.diff(np.r_[starts, len(i)])
-            rank = np.arange(len(i)) - np.repeat(starts, sizes)
-            more = np.repeat(sizes, sizes) > most_pairs
-            out = rank < most_pairs
-            if out.any():
-                a, b = name[i[out]], name[j[out]]
-                yield batch(a=np.maximum(a, b), b=np.minimum(a, b), more=more[out])
+            met = (keys[i] == keys[j]) & (np.arange(BANDS) < band[i][:, None])
+            new = ~met.any(axis=1)
+            i, j, apart = i[new], j[new], apart[new]
+            if nearest and len(i):
+                order = np.lexsort((name[j], apart, comp[j], i))
+                i, j = i[order], j[order]
+                lead = np.r_[True, (i[1:] != i[:-1]) | (comp[j][1:] != comp[j][:-1])]
+                i, j = i[lead], j[lead]
+            if len(i):
+                yield batch(a=np.maximum(name[i], name[j]), b=np.minimum(name[i], name[j]))
             done = upto
 
 
@@ -253,8 +252,10 @@ def _part(parts: Column) -> Column:
     return F.pmod(F.xxhash64("name"), parts.cast("long")).cast("int")
 
 
-def _by_key(rows: DataFrame, per_key: DataFrame, size: str) -> DataFrame:
-    """Rows joined to one row per band key, keys with very many rows salted."""
+def _by_key(rows: DataFrame, per_key: DataFrame, size: str, count: int) -> DataFrame:
+    """Rows joined to one row per band key; keys with very many rows are salted, if there are so many rows."""
+    if count <= TARGET_ROWS:
+        return rows.join(per_key, "key")
     hot = per_key.where(F.col(size) > TARGET_ROWS).select("key", F.ceil(F.col(size) / TARGET_ROWS).cast("int").alias("_parts"))
     return salt_rows(rows, ["key"], hot, ["name"]).join(spread_rows(per_key, ["key"], hot), ["key", SALT]).drop(SALT)
 
@@ -273,42 +274,47 @@ def leader_pairs(met: DataFrame, keyed: DataFrame, sigs: DataFrame, percent: int
     rows = met.select("key", _part(parts).alias("part"), "name", F.lit(1).alias("place"))
     heads = keyed.where(F.col("members") > PART_MEMBERS).select(
         "key", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.col("head").alias("name"), F.lit(0).alias("place"))
-    cells = rows.unionByName(heads).join(sigs, "name").select(F.xxhash64("key", "part").alias("cell"), "place", "name", "n", "sig")
+    cells = rows.unionByName(heads).join(sigs.select("name", "n", "sig"), "name").select(F.xxhash64("key", "part").alias("cell"), "place", "name", "n", "sig")
     found = _cells(cells, "place", "name").mapInArrow(lambda b: _leaders(b, percent), "a long, b long, different long")
     clear = F.col("different") <= F.lit(most_different(percent) // 2)
     best = F.min(F.struct((~clear).alias("far"), F.when(~clear, F.col("different")).alias("different"), "b")).alias("best")
     return found.groupBy("a").agg(best).select("a", "best.b")
 
 
-def foreign_pairs(met: DataFrame, labels: DataFrame, sigs: DataFrame, percent: int, most_pairs: int) -> DataFrame:
-    """(a, b, more): pairs of different groups that share a band value and seem alike, up to `most_pairs` per node and group.
+def foreign_pairs(met: DataFrame, members: int, labels: DataFrame, sigs: DataFrame, percent: int, nearest: bool) -> DataFrame:
+    """(a, b): pairs of different groups that share a band value and seem alike; with `nearest` as few as may join them.
 
     Of a band value the members outside its largest group are held against all its members. Both are cut into parts where they
-    are many, so a cell is bounded and most rows are sent once.
+    are many, so a cell is bounded and most rows are sent once. `members` is the number of rows of `met`.
     """
-    rows = met.select("key", "name").join(labels, "name", "left").withColumn("comp", F.coalesce("comp", "name"))
+    rows = met.select("key", "band", "name").join(labels, "name", "left").withColumn("comp", F.coalesce("comp", "name"))
     groups = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
     per_key = stored(groups.groupBy("key").agg(
         F.sum("c").alias("members"), F.count(F.lit(1)).alias("comps"), F.max(F.struct("c", "comp")).alias("top")).where("comps > 1").select(
         "key", "members", (F.col("members") - F.col("top.c")).alias("strays"), F.col("top.comp").alias("top")))
-    cut = _by_key(rows, per_key, "members").join(sigs, "name").withColumns({
+    cut = _by_key(rows, per_key, "members", members).join(sigs, "name").withColumns({
         "_s": F.ceil(F.col("strays") / PART_MEMBERS).cast("int"), "_m": F.ceil(F.col("members") / PART_MEMBERS).cast("int")})
-    left = cut.where("comp != top").select("*", F.lit(0).alias("side"), _part(F.col("_s")).alias("p")).withColumn(
-        "q", F.explode(F.sequence(F.lit(0), F.col("_m") - 1)))
-    right = cut.select("*", F.lit(1).alias("side"), _part(F.col("_m")).alias("q")).withColumn(
-        "p", F.explode(F.sequence(F.lit(0), F.col("_s") - 1)))
-    cells = left.unionByName(right).select(F.xxhash64("key", "p", "q").alias("cell"), "side", "name", "n", "comp", "sig")
-    found = _cells(cells, "side", "name").mapInArrow(lambda b: _foreign(b, percent, most_pairs), "a long, b long, more boolean")
-    return found.groupBy("a", "b").agg(F.max("more").alias("more"))
+    # Two strays are held against each other from both sides: once is enough.
+    sides = F.when(F.col("comp") != F.col("top"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))
+    both = cut.withColumn("side", F.explode(sides))
+    own, other = _part(F.when(F.col("side") == 0, F.col("_s")).otherwise(F.col("_m"))), F.when(F.col("side") == 0, F.col("_m")).otherwise(F.col("_s"))
+    both = both.withColumns({"own": own, "other": F.explode(F.sequence(F.lit(0), other - 1))})
+    left = F.col("side") == 0
+    cells = both.select(
+        F.xxhash64("key", F.when(left, F.col("own")).otherwise(F.col("other")), F.when(left, F.col("other")).otherwise(F.col("own"))).alias("cell"),
+        "side", "name", "n", "comp", "band", "keys", "sig")
+    return _cells(cells, "side", "name").mapInArrow(lambda b: _foreign(b, percent, nearest), "a long, b long").distinct()
 
 
 # ---- decision
 
-def _with_sets(pairs: DataFrame, side: str, sets: DataFrame) -> DataFrame:
-    """Pairs with the set of one end; pairs of a node that has very many are split."""
+def _with_sets(pairs: DataFrame, side: str, sets: DataFrame, count: int) -> DataFrame:
+    """Pairs with the set of one end; pairs of a node that has very many are split, if there are so many."""
+    named = sets.select(F.col("name").alias(side), F.col("body").alias(f"body_{side}"))
+    if count <= PART_PAIRS:
+        return pairs.join(named, side)
     hot = hot_groups(pairs.select(side), [side], PART_PAIRS)
     other = "b" if side == "a" else "a"
-    named = sets.select(F.col("name").alias(side), F.col("body").alias(f"body_{side}"))
     return salt_rows(pairs, [side], hot, [other]).join(spread_rows(named, [side], hot), [side, SALT]).drop(SALT)
 
 
@@ -318,7 +324,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, text_col: str
     wanted = stored(nodes.select("name", "text").join(ends, "name", "left_semi").select("name", "text.h1", "text.h2"))
     few = wanted.count() <= BROADCAST_NODES
     sets = stored(set_table(docs, text_col, width, F.broadcast(wanted) if few else wanted))
-    both = _with_sets(_with_sets(pairs.select("a", "b"), "a", sets), "b", sets)
+    count = pairs.count()
+    both = _with_sets(_with_sets(pairs.select("a", "b"), "a", sets, count), "b", sets, count)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -331,26 +338,29 @@ def confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, text_col: str
 
 def groups(docs: DataFrame, nodes: DataFrame, text_col: str, width: int, percent: int) -> DataFrame:
     """(name, comp): the group of every node (name, text, n, keys, sig) that is linked to another one."""
-    banded = nodes.select("name", F.explode("keys").alias("key"))
+    banded = nodes.select("name", F.posexplode("keys").alias("band", "key"))
     keyed = stored(banded.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("name").alias("head")).where("members > 1"))
-    met = stored(_by_key(banded, keyed, "members").select("key", "name", "members"))
-    sigs = stored(nodes.select("name", "n", "sig").join(met.select("name").distinct(), "name", "left_semi"))
-    checked = stored(confirmed(stored(leader_pairs(met, keyed, sigs, percent)), docs, nodes, text_col, width, percent))
-    most_pairs = FIRST_PAIRS
-    while True:
-        labels = components(checked.where("linked"), "a", "b").select(F.col("node").alias("name"), F.col("root").alias("comp"))
-        found = stored(foreign_pairs(met, labels, sigs, percent, most_pairs))
+    members = keyed.agg(F.sum("members")).first()[0] or 0
+    met = stored(_by_key(banded, keyed, "members", nodes.count() * BANDS).select("key", "band", "name", "members"))
+    sigs = stored(nodes.select("name", "n", "keys", "sig").join(met.select("name").distinct(), "name", "left_semi"))
+
+    def judged(pairs: DataFrame) -> DataFrame:
+        return stored(confirmed(pairs, docs, nodes, text_col, width, percent))
+
+    def labelled(pairs: DataFrame) -> DataFrame:
+        return components(pairs.where("linked"), "a", "b").select(F.col("node").alias("name"), F.col("root").alias("comp"))
+
+    checked = judged(stored(leader_pairs(met, keyed, sigs, percent)))
+    labels = labelled(checked)
+    for nearest in (True, False):
         known = checked.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        new = stored(found.join(known, ["a", "b"], "left_anti"))
-        row = found.agg(F.max("more").alias("more")).first()
-        if new.isEmpty():
-            if not row["more"]:
-                return labels
-        else:
-            checked = stored(checked.unionByName(confirmed(new, docs, nodes, text_col, width, percent)))
-            if not row["more"]:
-                return components(checked.where("linked"), "a", "b").select(F.col("node").alias("name"), F.col("root").alias("comp"))
-        most_pairs *= GROWTH
+        new = stored(foreign_pairs(met, members, labels, sigs, percent, nearest).join(known, ["a", "b"], "left_anti"))
+        if not new.isEmpty():
+            found = judged(new)
+            checked = checked.unionByName(found)
+            if not found.where("linked").isEmpty():
+                labels = labelled(checked)
+    return labels
 
 
 def near_duplicates(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsflow.operators.skew import salted_join
+from newsflow.operators.skew import TARGET_ROWS, salted_join
 from newsflow.session import stored
 
 
@@ -13,16 +13,21 @@ def _lowest(edges: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("m"))
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _with_lowest(edges: DataFrame, low: DataFrame, rows: int) -> DataFrame:
+    """Edges with their node's row of `low`; hot nodes are looked for where there are rows enough for one."""
+    return salted_join(edges, low, ["u"], ["v"]) if rows > TARGET_ROWS else edges.join(low, "u")
+
+
+def _large_star(edges: DataFrame, rows: int) -> DataFrame:
     """Link every larger neighbour of a node to the smallest node around it."""
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     low = _lowest(both).select("u", F.least("u", "m").alias("m"))
-    return salted_join(both, low, ["u"], ["v"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return _with_lowest(both, low, 2 * rows).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, rows: int) -> DataFrame:
     """Link a node and its smaller neighbours to the smallest of them. `edges` have u > v."""
-    joined = salted_join(edges, _lowest(edges), ["u"], ["v"])
+    joined = _with_lowest(edges, _lowest(edges), rows)
     down = joined.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return down.union(joined.select("u", F.col("m").alias("v"))).distinct()
 
@@ -45,7 +50,8 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     edges = stored(edges)
     before = _signature(edges)
     while before[0]:
-        edges = stored(_small_star(_large_star(edges)))
+        # A star may add a row for every edge it reads.
+        edges = stored(_small_star(_large_star(edges, before[0]), 2 * before[0]))
         after = _signature(edges)
         if after == before:
             break
