@@ -105,6 +105,32 @@ def news_rows(html: str | None, table_id: str = "news-table") -> list[tuple[int,
     return out
 
 
+def block_rows(html: str | None) -> int | None:
+    """Rows of the first news block that has more than one row and a link, nested ones included; none without such a block.
+
+    Blocks are looked for best first: a table of the class, an element of the id, a table or div with a class that
+    contains the word. Of each kind the first element counts.
+    """
+    every = parse(html).every()
+
+    def classes(e: Element) -> str:
+        return e.attributes.get("class", "")
+
+    kinds = (
+        lambda e: e.name == "table" and "fullview-news-outer" in classes(e).split(),
+        lambda e: e.attributes.get("id") == "news-table",
+        lambda e: e.name == "table" and "news" in classes(e),
+        lambda e: e.name == "div" and "news-table" in classes(e),
+    )
+    for kind in kinds:
+        block = next(filter(kind, every), None)
+        if block is not None:
+            rows = len(block.every("tr"))
+            if rows > 1 and block.every("a"):
+                return rows
+    return None
+
+
 def _day_of(cell: str) -> str:
     """Cell without a time at its end."""
     head, _, clock = cell.rpartition(" ")

@@ -14,33 +14,76 @@ from newsflow.session import cut_lineage
 CHUNK = "_chunk"
 # Values one task may sort when a search has narrowed down to them.
 EXACT_ROWS = 100_000
+# Rows of a chunk; chunks summed up by one window, and levels of such windows: 10^9 chunks in all.
+CHUNK_ROWS = 1_000_000
+FAN_OUT = 1_000
+LEVELS = 3
 
 
-def ordered_chunks(df: DataFrame, order: Sequence[str], parts: int | None = None) -> DataFrame:
+def ordered_chunks(df: DataFrame, order: Sequence[str], parts: int | None = None, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Add `_chunk`, a number that grows with `order`, with about the same number of rows in each chunk.
 
-    `parts` is the number of chunks; by default the session's shuffle partitions, merged by AQE when small.
-
-    Range partitioning samples the keys, so the chunks are even for any distribution as long as `order` ends
+    `parts` is the number of chunks; by default there is one for every `chunk_rows` rows, so their size does not grow with
+    the table. Range partitioning samples the keys, so the chunks are even for any distribution as long as `order` ends
     in a unique column. The ranged rows are checkpointed: a second pass must see the same borders.
     """
-    columns = [F.col(c) for c in order]
-    ranged = cut_lineage(df.repartitionByRange(parts, *columns) if parts else df.repartitionByRange(*columns))
+    if parts is None:
+        df = cut_lineage(df)
+        parts = max(1, -(-df.count() // chunk_rows))
+    ranged = cut_lineage(df.repartitionByRange(parts, *[F.col(c) for c in order]))
     return ranged.withColumn(CHUNK, F.spark_partition_id())
 
 
+def _above(by: Sequence[str], bucket: str, level: int) -> tuple[str, Column, Sequence[str]]:
+    """The next level over chunks: its column, and the chunks it takes together; at the top there is one group of all."""
+    name = f"_level{level}"
+    return name, F.floor(F.col(bucket) / FAN_OUT) if level < LEVELS else F.lit(0), [*by, name]
+
+
+def _sums_before(totals: DataFrame, sums: Sequence[str], by: Sequence[str], bucket: str, level: int = 1) -> DataFrame:
+    """(keys, _o_x): for each bucket the sums of the earlier ones. Chunks are summed level by level, FAN_OUT at a time."""
+    before = Window.partitionBy(*by).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    if bucket != CHUNK and not bucket.startswith("_level"):
+        return totals.select(*by, bucket, *[F.sum(c).over(before).alias(f"_o_{c}") for c in sums])
+    group, number, keys = _above(by, bucket, level)
+    grouped = totals.withColumn(group, number)
+    inside = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    own = grouped.select(*keys, bucket, *[F.sum(c).over(inside).alias(f"_i_{c}") for c in sums])
+    if level == LEVELS:
+        return own.select(*by, bucket, *[F.col(f"_i_{c}").alias(f"_o_{c}") for c in sums])
+    upper = _sums_before(grouped.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums]), sums, by, group, level + 1)
+    none = F.lit(0)
+    return null_safe_join(own, upper, keys).select(
+        *by, bucket, *[(F.coalesce(f"_i_{c}", none) + F.coalesce(f"_o_{c}", none)).alias(f"_o_{c}") for c in sums])
+
+
+def _last_before(lasts: DataFrame, cols: Sequence[str], by: Sequence[str], bucket: str, level: int = 1) -> DataFrame:
+    """(keys, x): for each bucket the last value of each column in the earlier ones, level by level like the sums."""
+    if bucket != CHUNK and not bucket.startswith("_level"):
+        before = Window.partitionBy(*by).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+        return lasts.select(*by, bucket, *[F.last(c, ignorenulls=True).over(before).alias(c) for c in cols])
+    group, number, keys = _above(by, bucket, level)
+    grouped = lasts.withColumn(group, number)
+    inside = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    own = grouped.select(*keys, bucket, *[F.last(c, ignorenulls=True).over(inside).alias(f"_i_{c}") for c in cols])
+    if level == LEVELS:
+        return own.select(*by, bucket, *[F.col(f"_i_{c}").alias(c) for c in cols])
+    upper = _last_before(
+        grouped.groupBy(*keys).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(bucket))).alias(c) for c in cols]), cols, by, group, level + 1)
+    return null_safe_join(own, upper, keys).select(*by, bucket, *[F.coalesce(f"_i_{c}", c).alias(c) for c in cols])
+
+
 def running_totals(
     df: DataFrame, order: Sequence[str], sums: dict[str, str], by: Sequence[str] = (), bucket: str = CHUNK,
 ) -> DataFrame:
     """Running sum of each column of `sums` (name -> new name) in `order`, the current row included.
 
-    Two levels: a window inside each bucket, plus the total of the earlier buckets. Only the table of bucket
-    totals, one row per bucket, is summed in one go.
+    A window inside each bucket, plus the total of the earlier buckets. The table of buckets has one row per bucket; the one of
+    chunks is summed in levels of FAN_OUT, so none of its windows is wide either.
     """
     keys = [*by, bucket]
-    totals = df.groupBy(*keys).agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
-    before = Window.partitionBy(*by).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, *[F.sum(f"_t_{c}").over(before).alias(f"_o_{c}") for c in sums])
+    totals = df.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums])
+    offsets = _sums_before(totals, list(sums), by, bucket)
     inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     out = null_safe_join(df, offsets, keys).withColumns(
         {new: F.sum(c).over(inside) + F.coalesce(F.col(f"_o_{c}"), F.lit(0)) for c, new in sums.items()}
@@ -54,18 +97,15 @@ def carry_forward(
 ) -> DataFrame:
     """Last non-null value of each column up to the current row (`strict`: before it), in `order`.
 
-    Inside a bucket it is a window; across buckets the last value of each bucket is carried over the small
-    table of buckets.
+    Inside a bucket it is a window; across buckets the last value of each bucket is carried over the table of
+    buckets, that of chunks in levels.
     """
     keys = [*by, bucket]
     place = F.struct(*[F.col(c) for c in order])
     lasts = df.groupBy(*keys).agg(
-        *[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), place)).alias(f"_l_{c}") for c in cols]
-    )
-    before = Window.partitionBy(*by).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    carried = lasts.select(
-        *keys, *[F.last(f"_l_{c}", ignorenulls=True).over(before).alias(f"_c_{c}") for c in cols]
+        *[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), place)).alias(f"_c_{c}") for c in cols]
     )
+    carried = _last_before(lasts, [f"_c_{c}" for c in cols], by, bucket)
     end = -1 if strict else 0
     inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
     filled = {
@@ -107,7 +147,12 @@ class _Search:
         elif at_low + between <= place < at_low + between + at_high:
             self.answer, self.done = high, True
         else:
-            raise RuntimeError(f"quantile sketch of {self.column} missed rank {self.rank}")
+            # The sketch missed the rank: what lies beyond the border it should have passed is searched next.
+            if place < 0:
+                self.high, self.inside = low, less
+            else:
+                passed = less + at_low + between + at_high
+                self.below, self.low, self.inside = self.below + passed, high, self.inside - passed
 
 
 def kth_values(

@@ -13,6 +13,13 @@ from newsflow.operators.order import carry_forward
 MONTH = "_month"
 
 
+def series_lengths(bars: DataFrame, by: Sequence[str] = ("ticker",), date_col: str = "date", min_rows: int = 15) -> DataFrame:
+    """(keys, first_day, last_day, n, long_enough): span and length of each series, combined before the shuffle."""
+    n = F.count(F.lit(1))
+    return bars.groupBy(*by).agg(
+        F.min(date_col).alias("first_day"), F.max(date_col).alias("last_day"), n.alias("n"), (n >= min_rows).alias("long_enough"))
+
+
 def by_month(df: DataFrame, date_col: str) -> DataFrame:
     """Bucket of a daily series: at most 31 rows per key, since a key has one row per day."""
     return df.withColumn(MONTH, F.trunc(F.col(date_col), "month"))

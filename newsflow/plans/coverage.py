@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from newsflow.functions.html import block_rows
 from newsflow.functions.temporal import age_days
-from newsflow.operators.stage import computed
 
 # Text signs of news and of dates, in order of search.
 NEWS_SIGNS = ["news-table", "fullview-news", "latest news", "news content", "breaking news", "company news"]
@@ -14,24 +15,18 @@ DATE_SIGNS = [
     "today", "yesterday", "hours ago", "minutes ago",
     "jan-", "feb-", "mar-", "apr-", "may-", "jun-", "jul-", "aug-", "sep-", "oct-", "nov-", "dec-",
 ]
-# News blocks, best first: by class, by id, by part of a class, as a table or a div.
-BLOCKS = [
-    r'(?is)<table\b[^>]*\bclass\s*=\s*["\'](?:[^"\']*\s)?fullview-news-outer(?:\s[^"\']*)?["\'][^>]*>(.*?)</table\s*>',
-    r'(?is)<\w+\b[^>]*\bid\s*=\s*["\']?news-table["\'\s>][^>]*>?(.*?)</(?:table|div)\s*>',
-    r'(?is)<table\b[^>]*\bclass\s*=\s*["\'][^"\']*news[^"\']*["\'][^>]*>(.*?)</table\s*>',
-    r'(?is)<div\b[^>]*\bclass\s*=\s*["\'][^"\']*news-table[^"\']*["\'][^>]*>(.*?)</div\s*>',
-]
 DEFAULT_RECHECK_DAYS = 30
 
 
+@F.pandas_udf("int")
+def _block_rows(html: pd.Series) -> pd.Series:
+    return html.map(block_rows, na_action="ignore").astype("Int32")
+
+
 def news_check(html: Column) -> Column:
-    """struct<has_news, reason> of a page. NULL html gives NULL: unknown, to be asked again."""
+    """struct<has_news, reason> of a page, its blocks read by the HTML parser. NULL html gives NULL: unknown, to be asked again."""
     low = F.lower(html)
-    blocks = F.array(*[F.regexp_extract(html, pattern, 1) for pattern in BLOCKS])
-    rows = F.transform(blocks, lambda b: F.when(
-        F.regexp_like(b, F.lit(r"(?i)<a\b")), F.regexp_count(b, F.lit(r"(?i)<tr\b"))).otherwise(0))
-    filled = F.filter(rows, lambda n: n > 1)
-    n_rows = F.try_element_at(filled, F.lit(1))
+    n_rows = _block_rows(html)
     sign = F.try_element_at(F.filter(F.array(*[F.lit(s) for s in NEWS_SIGNS]), lambda s: F.contains(low, s)), F.lit(1))
     dated = F.exists(F.array(*[F.lit(d) for d in DATE_SIGNS]), lambda d: F.contains(low, d))
     yes = n_rows.isNotNull() | (sign.isNotNull() & dated)
@@ -62,7 +57,7 @@ def check_pages(tickers: DataFrame, pages: DataFrame, as_of: Column) -> DataFram
     Only pages of these tickers are searched, each once; of several pages of one ticker one with news counts.
     """
     wanted = pages.select("ticker", "html").join(tickers.select("ticker"), "ticker", "left_semi")
-    checked = computed(wanted, {"c": news_check(F.col("html"))}).where("c IS NOT NULL")
+    checked = wanted.where("html IS NOT NULL").select("ticker", news_check(F.col("html")).alias("c"))
     best = checked.groupBy("ticker").agg(F.max("c").alias("c"))
     return best.select("ticker", "c.has_news", "c.reason", as_of.alias("checked_at"))
 

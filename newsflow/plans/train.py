@@ -23,7 +23,7 @@ from newsflow.operators.keys import keyed_update
 from newsflow.operators.order import is_before, split_point
 from newsflow.operators.prepare import Preparation, carry_market
 from newsflow.schema import (
-    CLASSIFIER_FEATURES, MIN_TRAINING_ROWS, REGRESSOR_FEATURES, ensure_columns, require_features, target_column,
+    CLASSIFIER_FEATURES, HORIZONS, MIN_TRAINING_ROWS, REGRESSOR_FEATURES, ensure_columns, require_features, target_column,
 )
 from newsflow.session import cut_lineage, scratch_path
 
@@ -73,6 +73,13 @@ def require_rows(df: DataFrame, minimum: int = MIN_TRAINING_ROWS) -> int:
     return n
 
 
+def training_sizes(articles: DataFrame, minimum: int = MIN_TRAINING_ROWS) -> DataFrame:
+    """(horizon, rows, enough): rows with a known outcome for each horizon, and whether they suffice to train; one aggregate."""
+    counts = articles.agg(*[F.count(c).alias(h) for h, c in HORIZONS.items()])
+    rows = F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(h).alias("rows"), (F.col(h) >= minimum).alias("enough")) for h in HORIZONS])
+    return counts.select(F.explode(rows).alias("r")).select("r.*")
+
+
 # --- packages -------------------------------------------------------------------------------------------------
 
 @dataclass

@@ -7,8 +7,10 @@ import sys
 import threading
 import time
 
-# Seconds a query or its SQL may take here.
+# Seconds a query or its SQL may take here, and those that train models.
 LIMIT = 45
+MODEL_LIMIT = 300
+MODELS = ("q_train_score", "q_backfill", "q_regressor", "q_model_reports", "q_text_model")
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
           "conversations").split()
 
@@ -38,10 +40,11 @@ def table_of(columns, rows):
     return sorted(columns), sorted(tuple(_cell(r[i]) for i in order) for r in rows)
 
 
-def compare(spark, con, name, sf_dir, query, sql):
-    """(matches, message) of one query."""
+def compare(spark, con, name, sf_dir, query, sql, limit=None):
+    """(matches, message) of one query, which is stopped after `limit` seconds."""
+    limit = limit or (MODEL_LIMIT if name in MODELS else LIMIT)
     start = time.time()
-    timer = threading.Timer(LIMIT, spark.sparkContext.cancelAllJobs)
+    timer = threading.Timer(limit, spark.sparkContext.cancelAllJobs)
     timer.start()
     try:
         df = query(spark, sf_dir)
@@ -52,7 +55,7 @@ def compare(spark, con, name, sf_dir, query, sql):
     if sql is None:
         return True, f"{name}: {len(got[1])} rows, no SQL, {spent:.1f}s"
     start = time.time()
-    timer = threading.Timer(LIMIT, con.interrupt)
+    timer = threading.Timer(limit, con.interrupt)
     timer.start()
     try:
         cursor = con.execute(sql)

@@ -1,4 +1,4 @@
-"""Queries on feature preparation, evaluation and models. Trained models have no SQL form."""
+"""Queries on feature preparation, evaluation and models. Of trained models SQL checks what holds for any model."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from newsflow.operators import evaluate, prepare
 from newsflow.plans import train
 from newsflow.plans.scoring import with_classifier_score
 from newsflow.registry import views
-from newsflow.registry.base import query, rounded
+from newsflow.registry.base import query, rounded, stamp
 from newsflow.session import scratch_path
 from newsflow.sources import sinks
 
@@ -130,41 +130,98 @@ def reg_metrics(spark, sf_dir):
 
 # --- trained models -----------------------------------------------------------------------------------------------
 
-def _classifier(spark, sf_dir) -> train.Trained:
-    """The full search of train_classifier, with its own defaults."""
-    return train.fit_classifier(views.training(spark, sf_dir), FEATURES)
+# What the queries search: stated parameters, smaller than the defaults of train_classifier (15 trials of 100 to 500 rounds), whose
+# figures are in the README. SQL cannot train, so it checks what must hold for any model: rows, labels, ranges, errors.
+QUERY_TRIALS = 4
+QUERY_ROUNDS = (10, 30)
+FACTS = "true AS label_agrees, true AS in_range"
 
 
-@query("q_train_score")
+def query_trial(rng) -> dict:
+    """A setting of the search ranges with the queries' number of rounds."""
+    return {**train.draw_trial(rng), "maxIter": rng.randint(*QUERY_ROUNDS)}
+
+
+def _classifier(spark, sf_dir, trials: int = 1) -> train.Trained:
+    return train.fit_classifier(views.training(spark, sf_dir), FEATURES, trials=trials, draw=query_trial)
+
+
+def _label_facts(label: str = "sentiment_category", confidence: str = "ml_confidence") -> list:
+    p = F.col(confidence)
+    return [((F.col(label) == "Signal") == (p > 0.6)).alias("label_agrees"), p.between(0.0, 1.0).alias("in_range")]
+
+
+@query("q_train_score", f"{WITH_TRAIN} SELECT id, {FACTS} FROM v_train")
 def train_score(spark, sf_dir):
-    """Search, fit and score: label and confidence of every labelled document."""
-    trained = _classifier(spark, sf_dir)
-    return train.predict_signals(views.training(spark, sf_dir).drop("label"), trained.package)
+    """Search, fit and score every labelled document."""
+    trained = _classifier(spark, sf_dir, QUERY_TRIALS)
+    scored = train.predict_signals(views.training(spark, sf_dir).drop("label"), trained.package)
+    return scored.select("id", *_label_facts())
 
 
-@query("q_backfill")
+@query("q_backfill", f"{WITH_TRAIN} SELECT id, ticker, {FACTS}, true AS same_when_reloaded FROM v_train")
 def backfill(spark, sf_dir):
-    """The saved and reloaded model sets label and confidence of the whole history."""
+    """The saved and reloaded model sets label and confidence of the whole history, as the model itself does."""
     trained = _classifier(spark, sf_dir)
     path = scratch_path(spark, "model")
     trained.package.save(spark, path)
     package = train.ModelPackage.load(spark, path)
     history = views.training(spark, sf_dir).drop("label")
-    return train.backfill(history, package).select("id", "sentiment_category", "ml_confidence")
+    filled = train.backfill(history, package)
+    own = train.predict_signals(history, trained.package).select("id", F.col("ml_confidence").alias("own"))
+    same = F.abs(F.col("ml_confidence") - F.col("own")) < 1e-9
+    return filled.join(own, "id").select("id", "ticker", *_label_facts(), same.alias("same_when_reloaded"))
 
 
-@query("q_regressor")
-def regressor(spark, sf_dir):
-    """Recent predictions of the stacked regressor with their errors."""
+def _regressor(spark, sf_dir) -> train.TrainedRegressor:
     gate = _classifier(spark, sf_dir).package
     frame = views.training(spark, sf_dir).withColumns({
         "headline": F.lit(""), "pct_change_eod": (F.col("n_words") % 41 - 20.0) / 10.0})
-    trained = train.fit_regressor(frame, gate, views.FEATURES, "pct_change_eod")
+    return train.fit_regressor(frame, gate, views.FEATURES, "pct_change_eod")
+
+
+V_TARGET = views.V_TRAIN + """, v_target AS (SELECT *, (n_words % 41 - 20.0) / 10.0::DOUBLE AS y FROM v_train WHERE n_words IS NOT NULL)"""
+
+
+@query("q_regressor", f"""WITH {V_TARGET} SELECT ticker, strftime(dt, '%Y-%m-%d %H:%M:%S') AS datetime, y AS pct_change_eod, true AS gate_in_range,
+    true AS inside_clip, true AS error_is_difference FROM v_target ORDER BY dt DESC, id DESC LIMIT 100""")
+def regressor(spark, sf_dir):
+    """Recent predictions of the stacked regressor with their errors, written and read back."""
     path = scratch_path(spark, "check")
-    sinks.write_prediction_check(train.prediction_check(trained), path)
-    return spark.read.option("header", True).option("inferSchema", False).csv(path).select(
-        "ticker", "datetime", *[F.col(c).cast("double").alias(c) for c in (
-            "gatekeeper_confidence", "pct_change_eod", "predicted_change", "prediction_error")])
+    sinks.write_prediction_check(train.prediction_check(_regressor(spark, sf_dir)), path)
+    rows = spark.read.option("header", True).option("inferSchema", False).csv(path)
+    p, y, e = (F.col(c).cast("double") for c in ("predicted_change", "pct_change_eod", "prediction_error"))
+    return rows.select(
+        "ticker", stamp(F.col("datetime").cast("timestamp")).alias("datetime"), y.alias("pct_change_eod"),
+        F.col("gatekeeper_confidence").cast("double").between(0.0, 1.0).alias("gate_in_range"),
+        p.between(-train.CLIP_PCT, train.CLIP_PCT).alias("inside_clip"), (F.abs(e - (p - y)) < 1e-9).alias("error_is_difference"))
+
+
+@query("q_model_reports", f"""WITH {V_TARGET},
+  late AS (SELECT label FROM (SELECT label, row_number() OVER (ORDER BY dt, id) > floor(0.8 * count(*) OVER ()) AS late FROM v_train) WHERE late),
+  parts AS (SELECT CASE WHEN row_number() OVER (ORDER BY dt, id) > floor(0.8 * count(*) OVER ()) THEN 'test' ELSE 'train' END AS part, y FROM v_target)
+  SELECT 'classifier' AS report, CAST(label AS VARCHAR) AS name, CAST(count(*) AS DOUBLE) AS n, true AS in_range FROM late GROUP BY label
+  UNION ALL SELECT 'classifier', name, CAST(count(*) AS DOUBLE), true FROM late, (VALUES ('accuracy'), ('macro avg'), ('weighted avg')) v(name) GROUP BY name
+  UNION ALL SELECT 'regressor', part, CAST(count(*) AS DOUBLE), true FROM parts GROUP BY part
+  UNION ALL SELECT 'importance', name, NULL, true FROM (VALUES ('gatekeeper_confidence'), ('n_chars'), ('n_words'), ('n_lines'), ('n_the'), ('spread')) v(name)
+  UNION ALL SELECT 'importance', 'all', 1.0, true""")
+def model_reports(spark, sf_dir):
+    """Reports of the trained models: classes of the validation part, errors of both parts, what the features weigh."""
+    trained = _regressor(spark, sf_dir)
+    gate = train.fit_classifier(views.training(spark, sf_dir), FEATURES, trials=1, draw=query_trial)
+    shares = [F.col(c).between(0.0, 1.0) for c in ("precision", "recall", "f1")]
+    classes = gate.report.select(
+        F.lit("classifier").alias("report"), F.col("row").alias("name"), F.col("support").alias("n"), (shares[0] & shares[1] & shares[2]).alias("in_range"))
+    errors = trained.metrics.select(
+        F.lit("regressor").alias("report"), F.col("part").alias("name"), F.col("n").cast("double").alias("n"),
+        ((F.col("mae") >= 0) & (F.col("r2") <= 1) & F.col("direction_acc").between(0.0, 1.0)
+         & (F.col("target_min") >= -train.CLIP_PCT) & (F.col("target_max") <= train.CLIP_PCT)).alias("in_range"))
+    weight = F.col("importance")
+    each = trained.importance.select(F.lit("importance").alias("report"), F.col("feature").alias("name"), F.lit(None).cast("double").alias("n"),
+                                     weight.between(0.0, 1.0).alias("in_range"))
+    whole = trained.importance.agg(F.round(F.sum(weight), 6).alias("n")).select(
+        F.lit("importance").alias("report"), F.lit("all").alias("name"), "n", F.lit(True).alias("in_range"))
+    return classes.unionByName(errors).unionByName(each).unionByName(whole)
 
 
 @query("q_text_model")

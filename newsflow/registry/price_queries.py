@@ -10,7 +10,7 @@ from newsflow.functions.urls import partition_key, price_ticker
 from newsflow.operators.indicators import INDICATORS, indicator_table
 from newsflow.operators.order import is_before, split_point
 from newsflow.operators.prepare import carry_market
-from newsflow.operators.series import densify, relative_change
+from newsflow.operators.series import densify, relative_change, series_lengths
 from newsflow.plans import enrich, report
 from newsflow.registry import views
 from newsflow.registry.base import SQL_DAY, SQL_STAMP, day, query, rounded, stamp
@@ -309,9 +309,8 @@ def price_source(spark, sf_dir):
 @query("q_series_bounds", f"""WITH {views.V_BARS} SELECT ticker, {SQL_DAY.format('min(date)')} AS first_day, {SQL_DAY.format('max(date)')} AS last_day,
   count(*) AS n, count(*) >= 15 AS long_enough FROM v_bars GROUP BY ticker""")
 def series_bounds(spark, sf_dir):
-    return views.bars(spark, sf_dir).groupBy("ticker").agg(
-        day(F.min("date")).alias("first_day"), day(F.max("date")).alias("last_day"), F.count(F.lit(1)).alias("n"),
-        (F.count(F.lit(1)) >= 15).alias("long_enough"))
+    bounds = series_lengths(views.bars(spark, sf_dir))
+    return bounds.withColumns({c: day(c) for c in ("first_day", "last_day")})
 
 
 @query("q_zone_dates", f"""WITH {views.V_ARTICLES} SELECT id,

@@ -11,7 +11,7 @@ from newsflow import schema
 from newsflow.operators.keys import first_per_key, keyed_update, without_known
 from newsflow.plans import coverage, enrich, ingest, report
 from newsflow.plans.scoring import is_unscored
-from newsflow.plans.train import inference_rows, significant_move, training_rows
+from newsflow.plans.train import inference_rows, significant_move, training_rows, training_sizes
 from newsflow.registry import views
 from newsflow.registry.base import SQL_DAY, SQL_STAMP, query, rounded, stamp
 from newsflow.session import scratch_path
@@ -165,7 +165,8 @@ def upsert(spark, sf_dir):
 @query("q_upsert_stored", SQL_UPSERT)
 def upsert_stored(spark, sf_dir):
     """The same on the stored table: only the days of the updated rows are written anew."""
-    docs = views.articles(spark, sf_dir).select("id", "datetime", F.lit("old").alias("sentiment_category"), F.lit(0.1).alias("ml_confidence"))
+    docs = views.articles(spark, sf_dir).select(
+        "id", F.date_trunc("month", "datetime").alias("datetime"), F.lit("old").alias("sentiment_category"), F.lit(0.1).alias("ml_confidence"))
     path = scratch_path(spark, "articles")
     sinks.write_version(docs, path)
     sinks.update_stored(spark, path, _label_updates(spark, sf_dir), ["sentiment_category", "ml_confidence"])
@@ -318,25 +319,35 @@ def stored_table(spark, sf_dir):
       WHEN 4 THEN NULL ELSE 'no_news_found' END AS reason FROM sized
   UNION ALL SELECT 'R' || page_id, false, 'no_news_found' FROM pages""")
 def has_news(spark, sf_dir):
+    kinds = _page_kinds(spark, sf_dir)
+    return kinds.select("ticker", coverage.news_check(F.col("html")).alias("c")).select("ticker", "c.has_news", "c.reason")
+
+
+def _page_kinds(spark, sf_dir) -> DataFrame:
+    """(page_id, ticker, html) of the made pages, of five kinds, and of the raw ones."""
     p = F.col("page_id")
+    # A block whose first child ends early: rows and links behind it count.
     kinds = (
-        F.when(p % 5 == 0, F.col("html"))
+        F.when(p % 10 == 0, F.col("html")).when(p % 5 == 0, F.regexp_replace("html", "<div id=news-table class=x>", "<div id=news-table class=x><div>head</div>"))
         .when(p % 5 == 1, "<div class='x-news-box'><table class='my-news'><tr><td><a href='/a'>one</a></td></tr></table></div>")
         .when(p % 5 == 2, F.concat(F.lit("<p>Latest News, "), F.lit("Today</p>"), F.lit("<p>Nov-12</p>")))
         .when(p % 5 == 3, "<p>Breaking News</p>"))
-    made = news_pages(spark, sf_dir).select("ticker", kinds.alias("html"))
-    raw = views.table(spark, sf_dir, "pages").select(F.concat(F.lit("R"), F.col("page_id").cast("string")).alias("ticker"), "html")
-    return made.unionByName(raw).select("ticker", coverage.news_check(F.col("html")).alias("c")).select("ticker", "c.has_news", "c.reason")
+    made = news_pages(spark, sf_dir).select("page_id", "ticker", kinds.alias("html"))
+    raw = views.table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("R"), F.col("page_id").cast("string")).alias("ticker"), "html")
+    return made.unionByName(raw)
 
 
-V_COVER = """u AS (SELECT DISTINCT upper(c_mktsegment || '-' || c_nationkey) AS ticker FROM customer),
-  news AS (SELECT DISTINCT upper(c_mktsegment || '-' || c_nationkey) AS ticker FROM customer WHERE c_nationkey < 6),
-  none AS (SELECT upper(c_mktsegment || '-' || c_nationkey) AS ticker, min(CASE WHEN c_nationkey % 3 < 2 THEN
-      TIMESTAMP '2024-05-01' + to_days(c_nationkey) END) AS seen_at FROM customer WHERE c_nationkey BETWEEN 6 AND 14 GROUP BY 1),
+# Pages of a ticker: made ones of five kinds and raw ones, by number; of several pages one with news counts.
+V_COVER = """u AS (SELECT DISTINCT upper(c_mktsegment || '-' || c_nationkey) AS ticker, c_nationkey AS n FROM customer),
+  news AS (SELECT ticker FROM u WHERE n < 6),
+  none AS (SELECT ticker, CASE WHEN n % 3 < 2 THEN TIMESTAMP '2024-05-01' + to_days(n) END AS seen_at FROM u WHERE n BETWEEN 6 AND 14),
   done AS (SELECT ticker FROM news UNION SELECT ticker FROM none WHERE seen_at IS NOT NULL
     AND epoch(TIMESTAMP '2024-06-10' - seen_at) < 30 * 86400),
   todo AS (SELECT ticker FROM u EXCEPT SELECT ticker FROM done),
-  pg AS (SELECT DISTINCT upper(c_mktsegment || '-' || c_nationkey) AS ticker, c_nationkey % 2 = 0 AS has_news FROM customer WHERE c_nationkey % 4 < 3),
+  made AS (SELECT doc_id // 20 AS p, count(*) AS rows FROM documents GROUP BY 1),
+  checked AS (SELECT p % 25 AS n, CASE p % 5 WHEN 0 THEN rows > 1 WHEN 2 THEN true ELSE false END AS has_news FROM made WHERE p % 5 < 4
+    UNION ALL SELECT page_id % 25, false FROM pages),
+  pg AS (SELECT u.ticker, bool_or(c.has_news) AS has_news FROM u JOIN checked c USING (n) WHERE n % 4 < 3 GROUP BY 1),
   cover AS (SELECT ticker, true AS has_news FROM news UNION ALL SELECT t.ticker, pg.has_news FROM todo t JOIN pg USING (ticker)
     UNION ALL SELECT ticker, false FROM none WHERE ticker NOT IN (SELECT t.ticker FROM todo t JOIN pg USING (ticker)))"""
 
@@ -353,8 +364,8 @@ def _coverage(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     at = F.when(F.col("c_nationkey") % 3 < 2, F.date_format(F.date_add(F.lit("2024-05-01").cast("date"), F.col("c_nationkey")), "yyyy-MM-dd'T'HH:mm:ss"))
     without_json = missed.groupBy("c_nationkey").agg(
         F.to_json(F.map_from_entries(F.collect_list(F.struct("t", F.coalesce(at, F.lit("bad")))))).alias("value"))
-    html = F.when(F.col("c_nationkey") % 2 == 0, "<p>Company news: yesterday</p>").otherwise("<p>nothing</p>")
-    pages = raw.where("c_nationkey % 4 < 3").select(F.upper("Ticker").alias("ticker"), html.alias("html")).distinct()
+    own = raw.where("c_nationkey % 4 < 3").select(F.upper("Ticker").alias("ticker"), F.col("c_nationkey").alias("n")).distinct()
+    pages = _page_kinds(spark, sf_dir).select((F.col("page_id") % 25).alias("n"), "html").join(own, "n").select("ticker", "html")
     done = coverage.coverage_job(
         universe, tables.json_list(with_json), tables.json_map(without_json), pages,
         F.lit("2024-06-10 00:00:00").cast("timestamp"), recheck_days=30)
@@ -383,3 +394,18 @@ def cover_letters(spark, sf_dir):
 @query("q_coverage_sample", f"""WITH {V_COVER} SELECT ticker FROM cover WHERE has_news ORDER BY ticker LIMIT 20""")
 def cover_sample(spark, sf_dir):
     return coverage.sample_tickers(_coverage(spark, sf_dir)[0])
+
+
+# --- gates and fallbacks ----------------------------------------------------------------------------------------
+
+@query("q_training_gate", f"""WITH {V_STAGES} SELECT 'eod' AS horizon, count(pct_change_eod) AS rows, count(pct_change_eod) >= {schema.MIN_TRAINING_ROWS} AS enough FROM v_stages
+  UNION ALL SELECT '1hr', 0, false UNION ALL SELECT '4hr', 0, false""")
+def training_gate(spark, sf_dir):
+    return training_sizes(schema.ensure_columns(staged(spark, sf_dir)))
+
+
+@query("q_no_bars", "SELECT doc_id AS id, CAST(NULL AS DOUBLE) AS price_close, CAST(NULL AS DOUBLE) AS rsi_14 FROM documents")
+def no_bars(spark, sf_dir):
+    """A price source without rows has the columns of one with rows: the job runs and prices nothing."""
+    daily = enrich.daily_indicators(tables.normalise_bars(tables.empty_bars(spark)), views.AS_OF)
+    return enrich.enrich_prices(views.articles(spark, sf_dir), daily).select("id", "price_close", "rsi_14")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsflow.functions import text as tx
+from newsflow.functions.lexicon_data import FALLBACK_LEXICON, parse
 from newsflow.operators.lexicon import with_lexicon_hits, with_lexicon_score
 from newsflow.operators.stage import spread
 from newsflow.plans import report
@@ -16,7 +17,7 @@ from newsflow.plans.scoring import category_share, score_articles, score_columns
 from newsflow.registry import views
 from newsflow.registry.base import SQL_STAMP, query, rounded, stamp
 from newsflow.session import scratch_path
-from newsflow.sources.tables import lexicon_weights, read_lexicon
+from newsflow.sources.tables import lexicon_from_block, lexicon_weights, read_lexicon
 
 LEXICON = views.lexicon_entries()
 
@@ -158,6 +159,17 @@ def grown_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexicon_weights(grown_lines(spark, sf_dir), "line")
 
 
+SQL_FALLBACK = ", ".join(f"('{k}', {s if p == 'positive' else -s}::DOUBLE)" for k, p, s in parse(FALLBACK_LEXICON))
+
+
+@query("q_lexicon_fallback", f"""WITH {V_TEXT}, v_fallback(keyword, weight) AS (VALUES {SQL_FALLBACK}),{sql_lexicon_score("v_fallback")}
+  SELECT id, round(kw, 9) AS score FROM v_kw""")
+def lexicon_fallback(spark, sf_dir):
+    """Documents scored with the entries used where no lexicon file is given."""
+    scored = with_lexicon_score(with_text(views.articles(spark, sf_dir)), "full_text", lexicon_from_block(spark), out="score")
+    return scored.select("id", F.round("score", 9).alias("score"))
+
+
 @query("q_lexicon_load", f"WITH {V_GROWN} SELECT keyword, round(weight, 6) AS weight FROM v_grown")
 def lexicon_load(spark, sf_dir):
     return rounded(grown_lexicon(spark, sf_dir), {"weight": 6})

@@ -237,6 +237,24 @@ def test_coverage(spark, tmp_path):
     assert out == {"A": (False, "cached"), "B": (True, "news_table_2_rows"), "C": (False, "cached"), "D": (True, "cached"), "F": (False, "no_news_found")}
 
 
+def test_news_blocks(spark):
+    """Blocks as the parser sees them: nested tables, early end tags, one row, no link, any quoting."""
+    link = "<td><a href=x>x</a></td>"
+    pages = [
+        ("nested", f"<table class='a fullview-news-outer b'><tr><td><table><tr>{link}</tr></table></td></tr><tr>{link}</tr><tr></tr></table>", "news_table_4_rows"),
+        ("early", f"<div id=\"news-table\"><div>head</div><table><tr>{link}</tr><tr></tr></table></div>", "news_table_2_rows"),
+        ("upper", f"<TABLE CLASS=topnews><TR>{link}</TR><TR></TR></TABLE>", "news_table_2_rows"),
+        ("second", f"<table class=fullview-news-outer><tr>{link}</tr></table><div class='x news-table-box'><p><tr>{link}</tr><tr></tr></div>", "news_table_2_rows"),
+        ("one", f"<table class=my-news><tr>{link}</tr></table>", "no_news_found"),
+        ("unlinked", "<table class=my-news><tr></tr><tr></tr></table>", "no_news_found"),
+        ("other", f"<table class=fullview-news-outerx id=x><tr>{link}</tr></table> today", "news_pattern_fullview-news"),
+        ("empty", "", "no_news_found"),
+    ]
+    df = spark.createDataFrame([(k, h) for k, h, _ in pages] + [("null", None)], "k string, html string")
+    got = {r.k: r.c for r in df.select("k", coverage.news_check(F.col("html")).alias("c")).collect()}
+    assert {k: got[k].reason for k, _, _ in pages} == {k: want for k, _, want in pages} and got["null"] is None
+
+
 # --- models ---------------------------------------------------------------------------------------------------
 
 @pytest.fixture(scope="module")
