@@ -8,10 +8,7 @@ threshold are left out; all others that could still join two groups are confirme
 A linked pair shares no band with probability (1 - 0.8 ** 4) ** 32, 5 in 10 ** 8 at the threshold, and less if it is more alike;
 the estimate leaves one out with probability 3 in 10 ** 7.
 
-No group is compared pair by pair. Equal sets are one node. A first round links each node to one leader it seems to be like. The
-second looks at members of a band value outside its largest group, and takes of each other group the member most like
-them. What joins groups is found by then, as a rule, so the third, which takes all candidates of different groups that were
-not judged yet, has few left. Each pair is met in the first band it shares.
+No group is compared pair by pair (`candidates`). Equal sets are one node.
 """
 
 from __future__ import annotations
@@ -25,9 +22,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsflow.llm.common import batch, grouped_rows, parts_for, ragged, texts_of
-from newsflow.llm.components import components
-from newsflow.operators.skew import SALT, TARGET_ROWS, hot_groups, salt_rows, spread_rows
+from newsflow.llm.candidates import Rule, groups, shared_keys
+from newsflow.llm.common import batch, texts_of
+from newsflow.operators.skew import SALT, TARGET_ROWS, salt_rows, spread_rows
 from newsflow.session import stored
 
 SHINGLE_WORDS = 2
@@ -38,15 +35,10 @@ BITS = 4
 MINIMA = 256
 LANES = 64 // BITS
 SIGMAS = 5.0
-# Members of a band value one task compares; values with more are split.
-PART_MEMBERS = 20_000
-# Pairs of one node whose sets one task confirms; the pairs of nodes with more are split.
-PART_PAIRS = 20_000
 # Texts whose sets are wanted are broadcast by name (24 bytes each) up to this count, joined beyond it.
 BROADCAST_NODES = 1_000_000
-# Hashes, and pairs, taken in one array step.
+# Hashes taken through all minima in one array step.
 STEP_HASHES = 4_096
-STEP_PAIRS = 200_000
 
 
 # ---- sets and signatures
@@ -177,190 +169,13 @@ def set_table(docs: DataFrame, text_col: str, width: int, wanted: DataFrame) ->
     return found.groupBy("name").agg(F.first("t").alias("t")).mapInArrow(run, "name long, body binary")
 
 
-# ---- candidates
-
-def _signatures(t: pa.Table) -> np.ndarray:
-    return np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint64).reshape(len(t), MINIMA // LANES)
-
-
-def _near_sizes(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
-    return 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
-
-
-def _leaders(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """(a, b, different): of each cell's members the first is a leader, members like it follow it, and so on with the others.
-
-    All cells of a table go through a step together. Rows come sorted by cell and place.
-    """
-    most = most_different(percent)
-    for t in grouped_rows(batches, "cell"):
-        cell, name, n = (t.column(c).to_numpy() for c in ("cell", "name", "n"))
-        sig = _signatures(t)
-        left = np.arange(len(cell))
-        while len(left):
-            new = np.r_[True, cell[left][1:] != cell[left][:-1]]
-            leader = left[np.flatnonzero(new)[np.cumsum(new) - 1]]
-            apart = np.full(len(left), MINIMA, dtype=np.int64)
-            for i in range(0, len(left), STEP_PAIRS):
-                apart[i:i + STEP_PAIRS] = different_lanes(sig[left[i:i + STEP_PAIRS]], sig[leader[i:i + STEP_PAIRS]])
-            follows = ~new & (apart <= most) & _near_sizes(n[left], n[leader], percent) & (name[left] != name[leader])
-            if follows.any():
-                yield batch(a=name[left[follows]], b=name[leader[follows]], different=apart[follows])
-            left = left[~new & ~follows]
-
-
-def _foreign(batches: Iterator[pa.RecordBatch], percent: int, nearest: bool) -> Iterator[pa.RecordBatch]:
-    """(a, b): pairs of a left and a right member of a cell that are in different groups, seem alike and share no band before.
-
-    With `nearest` of each other group only the member most like the left one. Rows come sorted by cell and side (0 left, 1 right).
-    """
-    most = most_different(percent)
-    for t in grouped_rows(batches, "cell"):
-        cell, side, name, n, comp, band = (t.column(c).to_numpy() for c in ("cell", "side", "name", "n", "comp", "band"))
-        keys = t.column("keys").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
-        sig = _signatures(t)
-        lefts, rights = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        first = np.searchsorted(cell[rights], cell[lefts], side="left")
-        count = np.searchsorted(cell[rights], cell[lefts], side="right") - first
-        ends = np.cumsum(count)
-        done = 0
-        while done < len(lefts):
-            base = ends[done] - count[done]
-            upto = max(done + 1, int(np.searchsorted(ends, base + STEP_PAIRS, side="right")))
-            owner, place = ragged(count[done:upto])
-            i, j = lefts[done:upto][owner], rights[first[done:upto][owner] + place]
-            keep = (comp[i] != comp[j]) & _near_sizes(n[i], n[j], percent)
-            i, j = i[keep], j[keep]
-            apart = np.concatenate([different_lanes(sig[i[k:k + STEP_PAIRS]], sig[j[k:k + STEP_PAIRS]])
-                                    for k in range(0, len(i), STEP_PAIRS)] or [np.empty(0, np.int64)])
-            near = apart <= most
-            i, j, apart = i[near], j[near], apart[near]
-            met = (keys[i] == keys[j]) & (np.arange(BANDS) < band[i][:, None])
-            new = ~met.any(axis=1)
-            i, j, apart = i[new], j[new], apart[new]
-            if nearest and len(i):
-                order = np.lexsort((name[j], apart, comp[j], i))
-                i, j = i[order], j[order]
-                lead = np.r_[True, (i[1:] != i[:-1]) | (comp[j][1:] != comp[j][:-1])]
-                i, j = i[lead], j[lead]
-            if len(i):
-                yield batch(a=np.maximum(name[i], name[j]), b=np.minimum(name[i], name[j]))
-            done = upto
-
-
-def _part(parts: Column) -> Column:
-    return F.pmod(F.xxhash64("name"), parts.cast("long")).cast("int")
-
-
-def _by_key(rows: DataFrame, per_key: DataFrame, size: str, count: int) -> DataFrame:
-    """Rows joined to one row per band key; keys with very many rows are salted, if there are so many rows."""
-    if count <= TARGET_ROWS:
-        return rows.join(per_key, "key")
-    hot = per_key.where(F.col(size) > TARGET_ROWS).select("key", F.ceil(F.col(size) / TARGET_ROWS).cast("int").alias("_parts"))
-    return salt_rows(rows, ["key"], hot, ["name"]).join(spread_rows(per_key, ["key"], hot), ["key", SALT]).drop(SALT)
-
-
-def _cells(rows: DataFrame, *order: str) -> DataFrame:
-    return rows.repartition(parts_for(rows), "cell").sortWithinPartitions("cell", *order)
-
-
-def leader_pairs(met: DataFrame, keyed: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
-    """(a, b): for each node one other it seems to be like, the smallest of the clearly similar ones or else the most similar.
-
-    `met` are the members (key, name, members) of shared band values, `keyed` one row (key, members, head) for each. A value with
-    many members is cut into parts, and its head is a leader in all of them.
-    """
-    parts = F.ceil(F.col("members") / PART_MEMBERS).cast("int")
-    rows = met.select("key", _part(parts).alias("part"), "name", F.lit(1).alias("place"))
-    heads = keyed.where(F.col("members") > PART_MEMBERS).select(
-        "key", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.col("head").alias("name"), F.lit(0).alias("place"))
-    cells = rows.unionByName(heads).join(sigs.select("name", "n", "sig"), "name").select(F.xxhash64("key", "part").alias("cell"), "place", "name", "n", "sig")
-    found = _cells(cells, "place", "name").mapInArrow(lambda b: _leaders(b, percent), "a long, b long, different long")
-    clear = F.col("different") <= F.lit(most_different(percent) // 2)
-    best = F.min(F.struct((~clear).alias("far"), F.when(~clear, F.col("different")).alias("different"), "b")).alias("best")
-    return found.groupBy("a").agg(best).select("a", "best.b")
-
-
-def foreign_pairs(met: DataFrame, members: int, labels: DataFrame, sigs: DataFrame, percent: int, nearest: bool) -> DataFrame:
-    """(a, b): pairs of different groups that share a band value and seem alike; with `nearest` as few as may join them.
-
-    Of a band value the members outside its largest group are held against all its members. Both are cut into parts where they
-    are many, so a cell is bounded and most rows are sent once. `members` is the number of rows of `met`.
-    """
-    rows = met.select("key", "band", "name").join(labels, "name", "left").withColumn("comp", F.coalesce("comp", "name"))
-    groups = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
-    per_key = stored(groups.groupBy("key").agg(
-        F.sum("c").alias("members"), F.count(F.lit(1)).alias("comps"), F.max(F.struct("c", "comp")).alias("top")).where("comps > 1").select(
-        "key", "members", (F.col("members") - F.col("top.c")).alias("strays"), F.col("top.comp").alias("top")))
-    cut = _by_key(rows, per_key, "members", members).join(sigs, "name").withColumns({
-        "_s": F.ceil(F.col("strays") / PART_MEMBERS).cast("int"), "_m": F.ceil(F.col("members") / PART_MEMBERS).cast("int")})
-    # Two strays are held against each other from both sides: once is enough.
-    sides = F.when(F.col("comp") != F.col("top"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))
-    both = cut.withColumn("side", F.explode(sides))
-    own, other = _part(F.when(F.col("side") == 0, F.col("_s")).otherwise(F.col("_m"))), F.when(F.col("side") == 0, F.col("_m")).otherwise(F.col("_s"))
-    both = both.withColumns({"own": own, "other": F.explode(F.sequence(F.lit(0), other - 1))})
-    left = F.col("side") == 0
-    cells = both.select(
-        F.xxhash64("key", F.when(left, F.col("own")).otherwise(F.col("other")), F.when(left, F.col("other")).otherwise(F.col("own"))).alias("cell"),
-        "side", "name", "n", "comp", "band", "keys", "sig")
-    return _cells(cells, "side", "name").mapInArrow(lambda b: _foreign(b, percent, nearest), "a long, b long").distinct()
-
-
 # ---- decision
 
-def _with_sets(pairs: DataFrame, side: str, sets: DataFrame, count: int) -> DataFrame:
-    """Pairs with the set of one end; pairs of a node that has very many are split, if there are so many."""
-    named = sets.select(F.col("name").alias(side), F.col("body").alias(f"body_{side}"))
-    if count <= PART_PAIRS:
-        return pairs.join(named, side)
-    hot = hot_groups(pairs.select(side), [side], PART_PAIRS)
-    other = "b" if side == "a" else "a"
-    return salt_rows(pairs, [side], hot, [other]).join(spread_rows(named, [side], hot), [side, SALT]).drop(SALT)
-
-
-def confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, text_col: str, width: int, percent: int) -> DataFrame:
-    """(a, b, linked): the pairs, decided on full sets. Each wanted set is made once and goes along with its pairs once."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct()
-    wanted = stored(nodes.select("name", "text").join(ends, "name", "left_semi").select("name", "text.h1", "text.h2"))
+def sets_of(names: DataFrame, docs: DataFrame, nodes: DataFrame, text_col: str, width: int) -> DataFrame:
+    """(name, body): full sets of the names, each made once."""
+    wanted = stored(nodes.select("name", "text").join(names, "name", "left_semi").select("name", "text.h1", "text.h2"))
     few = wanted.count() <= BROADCAST_NODES
-    sets = stored(set_table(docs, text_col, width, F.broadcast(wanted) if few else wanted))
-    count = pairs.count()
-    both = _with_sets(_with_sets(pairs.select("a", "b"), "a", sets, count), "b", sets, count)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            linked = [alike(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent)
-                      for x, y in zip(b.column("body_a"), b.column("body_b"))]
-            yield batch(a=b.column("a"), b=b.column("b"), linked=pa.array(linked, pa.bool_()))
-
-    return both.select("a", "b", "body_a", "body_b").mapInArrow(run, "a long, b long, linked boolean")
-
-
-def groups(docs: DataFrame, nodes: DataFrame, text_col: str, width: int, percent: int) -> DataFrame:
-    """(name, comp): the group of every node (name, text, n, keys, sig) that is linked to another one."""
-    banded = nodes.select("name", F.posexplode("keys").alias("band", "key"))
-    keyed = stored(banded.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("name").alias("head")).where("members > 1"))
-    members = keyed.agg(F.sum("members")).first()[0] or 0
-    met = stored(_by_key(banded, keyed, "members", nodes.count() * BANDS).select("key", "band", "name", "members"))
-    sigs = stored(nodes.select("name", "n", "keys", "sig").join(met.select("name").distinct(), "name", "left_semi"))
-
-    def judged(pairs: DataFrame) -> DataFrame:
-        return stored(confirmed(pairs, docs, nodes, text_col, width, percent))
-
-    def labelled(pairs: DataFrame) -> DataFrame:
-        return components(pairs.where("linked"), "a", "b").select(F.col("node").alias("name"), F.col("root").alias("comp"))
-
-    checked = judged(stored(leader_pairs(met, keyed, sigs, percent)))
-    labels = labelled(checked)
-    for nearest in (True, False):
-        known = checked.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        new = stored(foreign_pairs(met, members, labels, sigs, percent, nearest).join(known, ["a", "b"], "left_anti"))
-        if not new.isEmpty():
-            found = judged(new)
-            checked = checked.unionByName(found)
-            if not found.where("linked").isEmpty():
-                labels = labelled(checked)
-    return labels
+    return stored(set_table(docs, text_col, width, F.broadcast(wanted) if few else wanted))
 
 
 def near_duplicates(
@@ -381,7 +196,9 @@ def near_duplicates(
         F.min(first).alias("first"), F.min(F.struct("h1", "h2")).alias("text"), F.count(F.lit(1)).alias("copies"),
         F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sig").alias("sig"))
     nodes = stored(nodes.withColumn("name", F.monotonically_increasing_id()))
-    labels = groups(docs, nodes, text_col, width, percent)
+    rule = Rule(BANDS, MINIMA // LANES, different_lanes, most_different(percent), most_different(percent) // 2, percent)
+    labels = groups(nodes, *shared_keys(nodes), rule, lambda names: sets_of(names, docs, nodes, text_col, width),
+                    lambda x, y: alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent))
     named = nodes.select("digest", "first", "copies", "name").join(labels, "name", "left").withColumn("comp", F.coalesce("comp", "name"))
     lowest = named.groupBy("comp").agg(F.min("first").alias("lowest"))
     ids = stored(named.join(lowest, "comp").select("digest", "copies", F.col("lowest.doc_id").alias("component_id")))

@@ -6,7 +6,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from newsflow.llm import bitminhash
+from newsflow.llm import bitminhash, candidates
 from newsflow.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -90,8 +90,8 @@ def edited_docs(seed=3, bases=30, copies=12):
 @pytest.mark.parametrize("part", [20_000, 4])
 def test_against_all_pairs(spark, monkeypatch, part):
     """Also with small parts, where every band value and every node is hot."""
-    for name in ("PART_MEMBERS", "PART_PAIRS", "TARGET_ROWS"):
-        monkeypatch.setattr(bitminhash, name, min(part, getattr(bitminhash, name)))
+    for name in ("PART_MEMBERS", "PART_PAIRS", "PART_SETTLED", "TARGET_ROWS"):
+        monkeypatch.setattr(candidates, name, min(part, getattr(candidates, name)))
     docs = edited_docs()
     want, links = expected(docs)
     assert links > 300 and sum(not r[3] for r in want) > 100
