@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 from html.parser import HTMLParser
 
+import pandas as pd
 from pyspark import cloudpickle
 
 # The functions below travel with the task, so workers need no copy of this package.
@@ -131,6 +132,11 @@ def block_rows(html: str | None) -> int | None:
     return None
 
 
+def block_counts(html: pd.Series) -> pd.Series:
+    """`block_rows` of a batch of pages."""
+    return html.map(block_rows, na_action="ignore").astype("Int32")
+
+
 def _day_of(cell: str) -> str:
     """Cell without a time at its end."""
     head, _, clock = cell.rpartition(" ")

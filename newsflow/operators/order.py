@@ -40,6 +40,11 @@ def _above(by: Sequence[str], bucket: str, level: int) -> tuple[str, Column, Seq
     return name, F.floor(F.col(bucket) / FAN_OUT) if level < LEVELS else F.lit(0), [*by, name]
 
 
+def _plus(a: Column, b: Column) -> Column:
+    """Sum of what is known of two sums; NULL if neither is."""
+    return F.coalesce(a + b, a, b)
+
+
 def _sums_before(totals: DataFrame, sums: Sequence[str], by: Sequence[str], bucket: str, level: int = 1) -> DataFrame:
     """(keys, _o_x): for each bucket the sums of the earlier ones. Chunks are summed level by level, FAN_OUT at a time."""
     before = Window.partitionBy(*by).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
@@ -52,9 +57,8 @@ def _sums_before(totals: DataFrame, sums: Sequence[str], by: Sequence[str], buck
     if level == LEVELS:
         return own.select(*by, bucket, *[F.col(f"_i_{c}").alias(f"_o_{c}") for c in sums])
     upper = _sums_before(grouped.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums]), sums, by, group, level + 1)
-    none = F.lit(0)
     return null_safe_join(own, upper, keys).select(
-        *by, bucket, *[(F.coalesce(f"_i_{c}", none) + F.coalesce(f"_o_{c}", none)).alias(f"_o_{c}") for c in sums])
+        *by, bucket, *[_plus(F.col(f"_i_{c}"), F.col(f"_o_{c}")).alias(f"_o_{c}") for c in sums])
 
 
 def _last_before(lasts: DataFrame, cols: Sequence[str], by: Sequence[str], bucket: str, level: int = 1) -> DataFrame:
@@ -86,7 +90,7 @@ def running_totals(
     offsets = _sums_before(totals, list(sums), by, bucket)
     inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     out = null_safe_join(df, offsets, keys).withColumns(
-        {new: F.sum(c).over(inside) + F.coalesce(F.col(f"_o_{c}"), F.lit(0)) for c, new in sums.items()}
+        {new: _plus(F.sum(c).over(inside), F.col(f"_o_{c}")) for c, new in sums.items()}
     )
     return out.drop(*[f"_o_{c}" for c in sums])
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from newsflow.functions.html import block_rows
+from newsflow.functions.html import block_counts
 from newsflow.functions.temporal import age_days
 
 # Text signs of news and of dates, in order of search.
@@ -18,9 +18,8 @@ DATE_SIGNS = [
 DEFAULT_RECHECK_DAYS = 30
 
 
-@F.pandas_udf("int")
-def _block_rows(html: pd.Series) -> pd.Series:
-    return html.map(block_rows, na_action="ignore").astype("Int32")
+# The function is that of the parser's module, which travels with the task.
+_block_rows = F.pandas_udf(block_counts, T.IntegerType())
 
 
 def news_check(html: Column) -> Column:

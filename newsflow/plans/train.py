@@ -151,7 +151,7 @@ def at_once(spark: SparkSession, work: Callable, items: Sequence, parallelism: i
     if parallelism <= 1 or len(items) <= 1:
         return [work(i) for i in items]
     with ThreadPool(min(parallelism, len(items))) as pool:
-        return pool.map(inheritable_thread_target(run), list(enumerate(items)), chunksize=1)
+        return pool.map(inheritable_thread_target(spark)(run), list(enumerate(items)), chunksize=1)
 
 
 def for_fit(df: DataFrame, rows: int | None = None) -> DataFrame:

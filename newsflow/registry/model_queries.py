@@ -173,11 +173,12 @@ def backfill(spark, sf_dir):
     return filled.join(own, "id").select("id", "ticker", *_label_facts(), same.alias("same_when_reloaded"))
 
 
-def _regressor(spark, sf_dir) -> train.TrainedRegressor:
-    gate = _classifier(spark, sf_dir).package
+def _both(spark, sf_dir) -> tuple[train.Trained, train.TrainedRegressor]:
+    """The classifier and the regressor stacked on it."""
+    gate = _classifier(spark, sf_dir)
     frame = views.training(spark, sf_dir).withColumns({
         "headline": F.lit(""), "pct_change_eod": (F.col("n_words") % 41 - 20.0) / 10.0})
-    return train.fit_regressor(frame, gate, views.FEATURES, "pct_change_eod")
+    return gate, train.fit_regressor(frame, gate.package, views.FEATURES, "pct_change_eod")
 
 
 V_TARGET = views.V_TRAIN + """, v_target AS (SELECT *, (n_words % 41 - 20.0) / 10.0::DOUBLE AS y FROM v_train WHERE n_words IS NOT NULL)"""
@@ -188,7 +189,7 @@ V_TARGET = views.V_TRAIN + """, v_target AS (SELECT *, (n_words % 41 - 20.0) / 1
 def regressor(spark, sf_dir):
     """Recent predictions of the stacked regressor with their errors, written and read back."""
     path = scratch_path(spark, "check")
-    sinks.write_prediction_check(train.prediction_check(_regressor(spark, sf_dir)), path)
+    sinks.write_prediction_check(train.prediction_check(_both(spark, sf_dir)[1]), path)
     rows = spark.read.option("header", True).option("inferSchema", False).csv(path)
     p, y, e = (F.col(c).cast("double") for c in ("predicted_change", "pct_change_eod", "prediction_error"))
     return rows.select(
@@ -207,8 +208,7 @@ def regressor(spark, sf_dir):
   UNION ALL SELECT 'importance', 'all', 1.0, true""")
 def model_reports(spark, sf_dir):
     """Reports of the trained models: classes of the validation part, errors of both parts, what the features weigh."""
-    trained = _regressor(spark, sf_dir)
-    gate = train.fit_classifier(views.training(spark, sf_dir), FEATURES, trials=1, draw=query_trial)
+    gate, trained = _both(spark, sf_dir)
     shares = [F.col(c).between(0.0, 1.0) for c in ("precision", "recall", "f1")]
     classes = gate.report.select(
         F.lit("classifier").alias("report"), F.col("row").alias("name"), F.col("support").alias("n"), (shares[0] & shares[1] & shares[2]).alias("in_range"))
