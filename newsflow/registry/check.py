@@ -8,7 +8,7 @@ import threading
 import time
 
 # Seconds a query or its SQL may take here, and those that train models.
-LIMIT = 45
+LIMIT = 90
 MODEL_LIMIT = 300
 MODELS = ("q_train_score", "q_backfill", "q_regressor", "q_model_reports", "q_text_model")
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
