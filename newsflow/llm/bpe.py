@@ -34,18 +34,23 @@ from newsflow.session import cut_lineage
 # not depend on them.
 LEXICON_WORDS = 65_536
 LEXICON_MIN_COUNT = 16
-# Entries of a worker's memory of words seen before, and the longest word kept in it.
-MEMO_WORDS = 600_000
+# Entries of a worker's memory of words seen before, half of them from before it was last full, and the longest word kept in it.
+MEMO_WORDS = 1_200_000
 MEMO_CHARS = 48
+# Entries of its memory of words that stand in chunks of several, like those of code.
+MEMO_PARTS = 150_000
 # Different words a counting task holds before it hands on what it has.
 COUNTER_WORDS = 400_000
+# Ids turned into bytes in one array step.
+DECODE_IDS = 4_000_000
 
 # The word patterns of the two vocabularies.
 BYTE_LEVEL_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WORD_END_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
-NO_MERGE = 1 << 62
+NO_MERGE = 1 << 29
 _ID_BITS = 21
+_ID_MASK = (1 << _ID_BITS) - 1
 
 
 @cache
@@ -71,6 +76,14 @@ class Vocabulary:
         for rank, pair in enumerate(model["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self.pairs.setdefault(ids[a] << _ID_BITS | ids[b], rank << _ID_BITS | ids[a + b])
+        # The same by the left id, as ranks, and the id that each rank makes.
+        right: dict[int, dict[int, int]] = {}
+        self.made = [0] * len(model["merges"])
+        for pair, found in self.pairs.items():
+            right.setdefault(pair >> _ID_BITS, {})[pair & _ID_MASK] = found >> _ID_BITS
+            self.made[found >> _ID_BITS] = found & _ID_MASK
+        nothing: dict[int, int] = {}
+        self.right = [right.get(i, nothing).get for i in range(max(ids.values()) + 1)]
         self.special = {t["content"]: t["id"] for t in data["added_tokens"]}
         self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.words = regex.compile(WORD_END_WORDS if self.word_ends else BYTE_LEVEL_WORDS)
@@ -81,25 +94,29 @@ class Vocabulary:
                 self.bytes_of[i] = bytes(of_symbol[c] for c in token)
         self.bytes_of.update({i: s.encode() for s, i in self.special.items()})
 
+    def byte_table(self) -> pa.Array:
+        """Bytes of each id by its number; null for numbers that are no id."""
+        return pa.array([self.bytes_of.get(i) for i in range(max(self.bytes_of) + 1)], pa.large_binary())
+
     def merge(self, word: bytes) -> list[int]:
         """Ids of one word by its merges, lowest rank first, then leftmost."""
         ids = [self.first[b] for b in word]
         ids[-1] = self.last[word[-1]]
         if len(ids) > 256:
             return self._merge_long(ids)
-        get, bits, none, mask = self.pairs.get, _ID_BITS, NO_MERGE, (1 << _ID_BITS) - 1
-        ranks = [get(a << bits | b, none) for a, b in zip(ids, ids[1:])]
+        right, made, none = self.right, self.made, NO_MERGE
+        ranks = [right[a](b, none) for a, b in zip(ids, ids[1:])]
         while ranks:
             best = min(ranks)
             if best == none:
                 break
             i = ranks.index(best)
-            ids[i] = new = best & mask
+            ids[i] = new = made[best]
             del ids[i + 1], ranks[i]
             if i:
-                ranks[i - 1] = get(ids[i - 1] << bits | new, none)
+                ranks[i - 1] = right[ids[i - 1]](new, none)
             if i < len(ranks):
-                ranks[i] = get(new << bits | ids[i + 1], none)
+                ranks[i] = right[new](ids[i + 1], none)
         return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:
@@ -113,7 +130,7 @@ class Vocabulary:
             j = after[i]
             if ids[i] != a or j >= n or ids[j] != b:
                 continue
-            ids[i], ids[j] = found & (1 << _ID_BITS) - 1, -1
+            ids[i], ids[j] = found & _ID_MASK, -1
             after[i] = after[j]
             if after[j] < n:
                 before[after[j]] = i
@@ -236,35 +253,59 @@ class Automaton:
 
 
 class Encoder(dict):
-    """Text to ids as packed unsigned 32-bit numbers; as a dictionary, a bounded memory of chunks seen."""
+    """Text to ids as packed unsigned 32-bit numbers; as a dictionary, a bounded memory of chunks seen, beside one of words."""
 
     def __init__(self, spec: str, lexicon: bytes | None = None) -> None:
         super().__init__()
         self.vocabulary = Vocabulary(spec)
         self.lexicon = Automaton(lexicon) if lexicon else None
         self.lead = "" if self.vocabulary.word_ends else " "
+        self.before: dict[str, bytes] = {}
+        self.parts: dict[bytes, bytes] = {}
         self.signs = {s: self.words(s) for s in _STOPS}
 
     def __missing__(self, chunk: str) -> bytes:
-        body, sign = chunk[:-1], chunk[-1:]
-        if sign in self.signs and body.isalpha() and (body.isascii() or self.vocabulary.normal(body).isalpha()):  # a word and a sign are two words
-            ids = self[body] + self.signs[sign]
-        elif not self.lead and chunk.isascii() and (low := chunk.lower()) != chunk:
-            ids = self[low]
-        else:
-            ids = self.words(self.lead + chunk)
+        ids = self.before.get(chunk)
+        if ids is None:
+            ids = self.ids_of(chunk)
         if len(chunk) <= MEMO_CHARS:
-            if len(self) >= MEMO_WORDS:
+            if len(self) >= MEMO_WORDS // 2:  # what is not met again until the next time goes
+                self.before = dict(self)
                 self.clear()
             self[chunk] = ids
         return ids
 
+    def ids_of(self, chunk: str) -> bytes:
+        if chunk.isascii():
+            if not self.lead and (low := chunk.lower()) != chunk:
+                return self[low]
+            if chunk.isalpha():
+                return self.merged((self.lead + chunk).encode())
+        body, sign = chunk[:-1], chunk[-1:]
+        if sign in self.signs and body.isalpha() and (body.isascii() or self.vocabulary.normal(body).isalpha()):  # a word and a sign are two words
+            return self[body] + self.signs[sign]
+        return self.words(self.lead + chunk)
+
     def words(self, chunk: str) -> bytes:
-        out = array("I")
-        for word in self.vocabulary.words_of(chunk):
-            known = self.lexicon.get(word) if self.lexicon else None
-            out.extend(self.vocabulary.merge(word) if known is None else known)
-        return out.tobytes()
+        words = self.vocabulary.words_of(chunk)
+        if len(words) == 1:  # its chunk is remembered
+            return self.merged(words[0])
+        return b"".join([self.part(w) for w in words])
+
+    def part(self, word: bytes) -> bytes:
+        """Ids of a word that stands in a chunk of several: it comes again in others."""
+        ids = self.parts.get(word)
+        if ids is None:
+            ids = self.merged(word)
+            if len(word) <= MEMO_CHARS:
+                if len(self.parts) >= MEMO_PARTS:
+                    self.parts.clear()
+                self.parts[word] = ids
+        return ids
+
+    def merged(self, word: bytes) -> bytes:
+        known = self.lexicon.get(word) if self.lexicon else None
+        return array("I", self.vocabulary.merge(word)).tobytes() if known is None else known.tobytes()
 
     def plain(self, text: str) -> bytes:
         head, rest = self.vocabulary.chunks(text)
@@ -311,11 +352,11 @@ def word_counts(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame
         heads, chunks = Counter(), Counter()
 
         def words() -> pa.RecordBatch:
-            found: Counter = Counter()
+            found: dict[bytes, int] = {}
             for lead, counted in (("", heads), (" ", chunks)):
                 for chunk, n in counted.items():
                     for w in vocabulary.words_of(lead + chunk):
-                        found[w] += n
+                        found[w] = found.get(w, 0) + n
             heads.clear()
             chunks.clear()
             return batch(word=pa.array(list(found), pa.binary()), n=pa.array(list(found.values()), pa.int64()))
@@ -376,10 +417,24 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids", out_col: str = "
     shared = Shared(encoded.sparkSession, read_spec(path), None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = encoder(shared).vocabulary.bytes_of
+        table = encoder(shared).vocabulary.byte_table()
         for b in batches:
-            texts = [b"".join(map(table.__getitem__, i.values.to_numpy().tolist() if i.is_valid else ())).decode("utf-8", "replace")
-                     for i in b.column(ids_col)]
+            lists = b.column(ids_col)
+            flat = lists.flatten()  # without what null lists hold
+            counts = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            ends = np.cumsum([0, *counts.tolist()])
+            texts = []
+            # So many ids at a time that their bytes stay below Arrow's limit of a column.
+            low = 0
+            while low < len(counts):
+                high = max(low + 1, int(np.searchsorted(ends, ends[low] + DECODE_IDS, side="right")) - 1)
+                pieces = table.take(flat.slice(ends[low], ends[high] - ends[low]))
+                if pieces.null_count:
+                    raise KeyError("an id that the vocabulary does not have")
+                data = memoryview(pieces.buffers()[2] or b"")
+                at = np.frombuffer(pieces.buffers()[1], np.int64)[ends[low:high + 1] - ends[low]].tolist() if len(pieces) else [0] * (high - low + 1)
+                texts += [str(data[x:y], "utf-8", "replace") for x, y in zip(at, at[1:])]
+                low = high
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, out_col])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)

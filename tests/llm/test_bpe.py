@@ -76,3 +76,31 @@ def test_empty(spark):
     path = public_tokenizers.path(FILES[0])
     out = bpe.decode(bpe.encode(spark.createDataFrame([], "doc_id long, text string"), path), path)
     assert out.columns == ["doc_id", "ids", "decoded"] and out.count() == 0
+
+
+def test_decode_in_steps(spark, monkeypatch):
+    """Empty, null and long lists, invalid bytes cut at the ends of lists, more ids than one step takes."""
+    ready(spark)
+    monkeypatch.setattr(bpe, "DECODE_IDS", 5)
+    path = public_tokenizers.path(FILES[0])
+    library = Tokenizer.from_file(path)
+    whole = library.encode("日本語 and more words than a step takes", add_special_tokens=False).ids
+    lists = [None, [], whole, whole[:1], whole[1:3], [], None, whole[2:], [0]]
+    df = spark.createDataFrame(list(enumerate(lists)), "doc_id long, ids array<int>").coalesce(1)
+    got = {r["doc_id"]: r["decoded"] for r in bpe.decode(df, path).collect()}
+    table = bpe.Vocabulary(bpe.read_spec(path)).bytes_of
+    assert got == {i: b"".join(table[t] for t in x or ()).decode("utf-8", "replace") for i, x in enumerate(lists)}
+    with pytest.raises(Exception, match="vocabulary|out of bounds"):
+        bpe.decode(spark.createDataFrame([(1, [max(table) + 1])], "doc_id long, ids array<int>"), path).collect()
+
+
+def test_words_of_a_chunk_are_merged_once(monkeypatch):
+    path = public_tokenizers.path(FILES[1])
+    own, library = bpe.Encoder(bpe.read_spec(path)), Tokenizer.from_file(path)
+    seen, merge = [], own.vocabulary.merge
+    monkeypatch.setattr(own.vocabulary, "merge", lambda word: seen.append(word) or merge(word))
+    monkeypatch.setattr(bpe, "MEMO_PARTS", 5)
+    for text in ("alpha=beta", "beta(alpha)", "alpha[beta]=gamma.delta", "alpha=beta"):
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+        assert len(own.parts) <= 5
+    assert seen[:5] == [b"alpha", b"=", b"beta", b"(", b")"]
