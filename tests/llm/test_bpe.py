@@ -104,3 +104,15 @@ def test_words_of_a_chunk_are_merged_once(monkeypatch):
         assert np.frombuffer(own.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
         assert len(own.parts) <= 5
     assert seen[:5] == [b"alpha", b"=", b"beta", b"(", b")"]
+
+
+def test_words_that_are_met_again_stay_in_memory(monkeypatch):
+    """A full memory keeps its last half; ids are those of the library all along."""
+    path = public_tokenizers.path(FILES[1])
+    own, library = bpe.Encoder(bpe.read_spec(path)), Tokenizer.from_file(path)
+    seen, merge = [], own.vocabulary.merge
+    monkeypatch.setattr(own.vocabulary, "merge", lambda word: seen.append(word) or merge(word))
+    monkeypatch.setattr(bpe, "MEMO_WORDS", 8)
+    text = " ".join(f"often w{'abcdefghijklmnopqrst'[i]} Often." for i in range(20))
+    assert np.frombuffer(own.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert seen.count(b"often") == 1 and len(own) <= 4 and len(own.before) <= 4
