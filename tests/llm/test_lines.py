@@ -122,3 +122,57 @@ def test_query(spark):
 def test_empty(spark):
     ready(spark)
     assert lines.dedupe(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def _varied(seed, count, words):
+    """Lines of words of a small vocabulary, half of them with a word changed."""
+    rng = random.Random(seed)
+    vocabulary = ["".join(rng.choices("aeioustrn", k=rng.randint(2, 6))) for _ in range(150)]
+    out = []
+    for _ in range(count // 2):
+        line = rng.choices(vocabulary, k=rng.randint(*words))
+        out.append(" ".join(line))
+        line[rng.randrange(len(line))] = rng.choice(vocabulary)
+        out.append(" ".join(line))
+    return out
+
+
+def test_cells_in_parts(spark, monkeypatch):
+    """Lines of a cell that is cut into parts, and lines around its border, are linked as without cells."""
+    ready(spark)
+    monkeypatch.setattr(lines, "CELL_BYTES", 9_000)
+    found = _varied(3, 300, (6, 40))
+    df, keyed = with_key(spark, [(i, "\n".join(found[i::30])) for i in range(30)])
+    assert max(lines.cell_parts(lines._keys(df, "doc_id", "text")).values()) > 2
+    want = expected(keyed)
+    rows = lines.dedupe(df).collect()
+    assert sorted((r["text"], r[-2], r[-1]) for r in rows) == sorted(want.values()) and sum(r[-1] for r in rows) > 50
+
+
+def test_tables_written(spark):
+    """What is written for lines that share blocks by chance stays in proportion to the text."""
+    import pathlib
+
+    from newsflow.session import shared_folder
+
+    ready(spark)
+    found = _varied(4, 3_000, (20, 40))
+    df = spark.createDataFrame([(i, "\n".join(found[i::100])) for i in range(100)], "doc_id long, text string")
+
+    def written():
+        return sum(p.stat().st_size for p in pathlib.Path(shared_folder(spark).removeprefix("file:")).rglob("*.parquet"))
+
+    before = written()
+    assert sum(r["n_removed"] for r in lines.dedupe(df).collect()) > 1_000
+    assert written() - before < sum(map(len, found))
+
+
+def test_similar_against_distance():
+    found = _varied(5, 400, (8, 60))
+    for a, b in zip(found, found[1:]):
+        most = 10 * max(len(a), len(b)) // 100
+        assert lines.similar(a, b) == (lines.edit_distance(a, b) <= most)
+    a, b = found[:2]
+    for q, counters in ((2, 128), (4, 1024)):
+        x, y = lines.gram_counts([a, b], q, counters).astype(int)
+        assert 0 < abs(x - y).sum() <= 2 * q * lines.edit_distance(a, b) and x.sum() == len(a) - q + 1
