@@ -35,7 +35,7 @@ from newsflow.session import cut_lineage
 LEXICON_WORDS = 65_536
 LEXICON_MIN_COUNT = 16
 # Entries of a worker's memory of words seen before, half of them from before it was last full, and the longest word kept in it.
-MEMO_WORDS = 1_200_000
+MEMO_WORDS = 800_000
 MEMO_CHARS = 48
 # Entries of its memory of words that stand in chunks of several, like those of code.
 MEMO_PARTS = 150_000
@@ -413,11 +413,14 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
 
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
-    """Add the text of the ids; bytes that are no UTF-8 become U+FFFD, null ids give the empty text."""
-    shared = Shared(encoded.sparkSession, read_spec(path), None)
+    """Add the text of the ids; bytes that are no UTF-8 become U+FFFD, null ids give the empty text.
+
+    Tasks get the bytes of the ids alone: merges would take a worker's memory for nothing.
+    """
+    shared = encoded.sparkSession.sparkContext.broadcast(Vocabulary(read_spec(path)).byte_table())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = encoder(shared).vocabulary.byte_table()
+        table = shared.value
         for b in batches:
             lists = b.column(ids_col)
             flat = lists.flatten()  # without what null lists hold

@@ -116,3 +116,19 @@ def test_words_that_are_met_again_stay_in_memory(monkeypatch):
     text = " ".join(f"often w{'abcdefghijklmnopqrst'[i]} Often." for i in range(20))
     assert np.frombuffer(own.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
     assert seen.count(b"often") == 1 and len(own) <= 4 and len(own.before) <= 4
+
+
+def test_memory_of_words_is_bounded():
+    """What a worker remembers beside its vocabulary; two workers share an executor."""
+    import tracemalloc
+
+    import public_tokenizers
+
+    held = bpe.Encoder(bpe.read_spec(public_tokenizers.path("byte_bpe_50k.json")))
+    held.ids_of = lambda chunk: chunk.encode() * 4
+    tracemalloc.start()
+    for i in range(1_190_000):
+        held[f"{i:x}"]
+    used = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert len(held) + len(held.before) <= 800_000 and used < 140_000_000
