@@ -420,6 +420,7 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids", out_col: str = "
     shared = encoded.sparkSession.sparkContext.broadcast(Vocabulary(read_spec(path)).byte_table())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _ENCODERS.clear()  # of a worker that counted or encoded before
         table = shared.value
         for b in batches:
             lists = b.column(ids_col)
