@@ -28,8 +28,8 @@ STEP_PAIRS = 2_000_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 TABLE_BITS = 18
 
-# A token is a run of word letters, followed by a blank where the next token comes after exactly one; lines end with a token of their own.
-TOKENS = r"(?U)\w+(?: (?=\w))?|\n"
+# A token is a run of word letters; lines end with a token of their own.
+TOKENS = r"(?U)\w+|\n"
 
 
 def tokens(lowered: Column) -> Column:
@@ -83,14 +83,11 @@ class Finder:
             same = int(np.unique(h, return_counts=True)[1].max())
             self.sizes[size] = h[order], letters[order], np.array([self.number[own[i]] for i in order], np.int64), likely, same
 
-    def inside(self, tokens: list[str], at: str = "") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(counts, starts, numbers) of the words inside each token, or only those at its `start` or `end`; some more than once."""
+    def inside(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(counts, starts, numbers) of the words inside each token; some more than once."""
         flat, lengths = letters_of(tokens), np.fromiter(map(len, tokens), np.int64, len(tokens))
         ends = np.cumsum(lengths)
-        pos = ends - lengths if at == "start" else np.arange(len(flat))
-        end = ends if at == "start" else np.repeat(ends, lengths)
-        if at == "start":
-            pos, end = pos[lengths > 0], end[lengths > 0]
+        pos, end = np.arange(len(flat)), np.repeat(ends, lengths)
         h, rows = np.zeros(len(pos), np.uint64), []
         for size in range(1, max(self.sizes, default=0) + 1):
             keep = pos + size <= end
@@ -103,8 +100,6 @@ class Finder:
                 continue
             hashes, letters, number, likely, same = self.sizes[size]
             i = np.flatnonzero(likely[h >> np.uint64(64 - TABLE_BITS)])
-            if at == "end":
-                i = i[pos[i] + size == end[i]]
             place = np.searchsorted(hashes, h[i])
             for k in range(same):
                 j = np.minimum(place + k, len(hashes) - 1)
@@ -132,9 +127,6 @@ def indexed(data: dict) -> dict:
     for i, (word, _) in enumerate(words):
         of_word.setdefault(word, []).append(i)
     data["words_in"], data["of_word"] = Finder(of_word), lists(of_word.values())
-    data["keys"] = numbered(data.get("weights", ()))
-    data["keys_in"] = Finder(data["keys"])
-    data["key_weights"] = np.array([data["weights"][k] for k in data["keys"]], float)
     often = Counter(part for parts in phrases for part in set(parts))
     data["parts"] = numbered(often)
     of_part = data["parts"].__getitem__
@@ -147,32 +139,20 @@ def indexed(data: dict) -> dict:
     for i, (k, parts) in enumerate(zip(anchor, phrases)):
         by_part[of_part(parts[k])].append(i)
     data["of_part"] = lists(by_part)
-    firsts, seconds = (np.array([of_part(parts[k]) for parts in phrases], np.int64) for k in (0, 1))
-    for k, name in ((0, "firsts"), (1, "seconds")):
-        data[name] = Finder(parts[k] for parts in phrases)
-        data[f"{name}_part"] = np.array([of_part(p) for p in data[name].number], np.int64)
-    data["pairs"], data["of_pair"] = grouped(firsts * len(often) + seconds)
-    counts, starts, keys = data["keys_in"].inside(list(data["parts"]))
-    inside = {part: keys[low:low + n].tolist() for part, low, n in zip(data["parts"], starts.tolist(), counts.tolist())}
-    data["blocks"] = lists({k for part in parts for k in inside[part]} for parts in phrases)
     data["ready"] = True
     return data
 
 
 class Step:
-    """Tokens of some texts: the text, the line and the number of each, and whether the next one follows after one blank."""
+    """Tokens of some texts: the text, the line and the number of each."""
 
     def __init__(self, data: dict, column: pa.Array) -> None:
         self.data, self.n = data, len(column)
         values = column.flatten().dictionary_encode()
-        code = values.indices.to_numpy(zero_copy_only=False)
-        base = pc.utf8_rtrim(values.dictionary, " ").dictionary_encode()
-        self.tokens = base.dictionary.to_pylist()
-        self.lengths = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-        self.text = np.repeat(np.arange(self.n), self.lengths)
-        self.token = base.indices.to_numpy(zero_copy_only=False).astype(np.int64)[code]
-        self.joined = pc.ends_with(values.dictionary, " ").to_numpy(zero_copy_only=False)[code]
-        self.line = np.cumsum(pc.equal(values.dictionary, "\n").to_numpy(zero_copy_only=False)[code]) + self.text
+        self.tokens = values.dictionary.to_pylist()
+        self.text = np.repeat(np.arange(self.n), column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+        self.token = values.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        self.line = np.cumsum(pc.equal(values.dictionary, "\n").to_numpy(zero_copy_only=False)[self.token]) + self.text
 
     def words(self, flags: np.ndarray) -> None:
         """Flag the words that are inside the tokens of each text."""
@@ -218,43 +198,6 @@ class Step:
             flags[text[own[ok]], phrase[ok]] = True
             low = high
 
-    def as_letters(self, flags: np.ndarray) -> None:
-        """Flag the phrases that a text holds as plain letters: the first word may end a token, the last one may begin one."""
-        held, size = self.data, len(self.data["parts"])
-        if not len(held["pairs"]):
-            return
-        tails, tail_at, tail = held["firsts"].inside(self.tokens, "end")
-        heads, head_at, head = held["seconds"].inside(self.tokens, "start")
-        tail, head = held["firsts_part"][tail], held["seconds_part"][head]
-        i = np.flatnonzero(self.joined)
-        a, b = self.token[i], self.token[i + 1]
-        chosen = (tails[a] > 0) & (heads[b] > 0)
-        i, a, b = i[chosen], a[chosen], b[chosen]
-        counts = tails[a] * heads[b]
-        ends, low = np.cumsum(counts), 0
-        of_pair, start, phrases = held["of_pair"]
-        while low < len(i):
-            high = max(low + 1, int(np.searchsorted(ends, ends[low] - counts[low] + STEP_PAIRS, side="right")))
-            own, place = ragged(counts[low:high])
-            own += low
-            pair = tail[tail_at[a[own]] + place // heads[b[own]]] * size + head[head_at[b[own]] + place % heads[b[own]]]
-            number = np.minimum(np.searchsorted(held["pairs"], pair), len(held["pairs"]) - 1)
-            met = held["pairs"][number] == pair
-            own, number = own[met], number[met]
-            more, place = ragged(of_pair[number])
-            phrase, text = phrases[start[number[more]] + place], self.text[i[own[more]]]
-            long = held["long"][phrase]
-            flags[text[~long], phrase[~long]] = True
-            for t, p in set(zip(text[long].tolist(), phrase[long].tolist())):
-                flags[t, p] |= " ".join(held["phrases"][p][0]) in self.spaced(t)
-            low = high
-
-    def spaced(self, text: int) -> str:
-        """Tokens of a text, a blank between those that have exactly one between them."""
-        low = int(self.lengths[:text].sum())
-        own = slice(low, low + int(self.lengths[text]))
-        return "".join(self.tokens[t] + (" " if j else "\n") for t, j in zip(self.token[own].tolist(), self.joined[own].tolist()))
-
 
 def follow(parts: list[int], line: list[int]) -> bool:
     """Whether the parts stand in the line, one after the other."""
@@ -281,36 +224,9 @@ def hits_of(data: dict, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.nonzero(flags)
 
 
-def scores_of(data: dict, column: pa.Array, others: list) -> tuple[np.ndarray, np.ndarray]:
-    """(sum of weights, number) of the phrases of each text and of its tokens that count and are not part of a phrase."""
-    step = Step(data, column)
-    flags = np.zeros((step.n, len(data["phrases"])), bool)
-    step.in_order(flags)
-    step.as_letters(flags)
-    text, phrase = np.nonzero(flags)
-    weights = np.array([0.0 if w is None else w for _, w, _ in data["phrases"]], float)
-    total = np.bincount(text, weights[phrase], step.n).astype(float)
-    n = np.bincount(text, minlength=step.n)
-    # Words that are inside a phrase of the text do not count.
-    counts, starts, keys = data["blocks"]
-    part_of = np.zeros((step.n, len(data["keys"])), bool)
-    own, place = ragged(counts[phrase])
-    part_of[text[own], keys[starts[phrase[own]] + place]] = True
-    for i, found in enumerate(others):
-        for p in found or ():
-            total[i] += p["weight"] or 0.0
-            n[i] += 1
-            part_of[i, data["keys_in"].inside([p["form"]])[2]] = True
-    key = np.array([data["keys"].get(t, -1) for t in step.tokens], np.int64)[step.token]
-    free = np.flatnonzero(key >= 0)
-    free = free[~part_of[step.text[free], key[free]]]
-    total += np.bincount(step.text[free], data["key_weights"][key[free]], step.n)
-    return total, n + np.bincount(step.text[free], minlength=step.n)
-
-
 def hits_column(spark: SparkSession, data: dict, found: Column) -> Column:
-    """array<struct<keyword, weight>> of the tokens in keyword order. `phrases` of the data end with the keyword."""
-    entries = list(data["words"]) + [(k, w) for _, w, _, k in data["phrases"]]
+    """array<struct<keyword, weight>> of the tokens in keyword order."""
+    entries = list(data["words"]) + [(k, w) for _, w, k in data["phrases"]]
     order = sorted(range(len(entries)), key=lambda i: (entries[i][0].encode("utf-8", "surrogatepass"), entries[i][1] is not None, entries[i][1] or 0.0))
     sent = spark.sparkContext.broadcast(data | {"entries": [entries[i] for i in order], "order": order})
 
@@ -330,21 +246,3 @@ def hits_column(spark: SparkSession, data: dict, found: Column) -> Column:
         return pa.ListArray.from_arrays(pa.array(np.concatenate(ends).astype(np.int32)), listed)
 
     return run(found)
-
-
-def score_column(spark: SparkSession, data: dict, found: Column, others: Column) -> Column:
-    """struct<sum, n> of the tokens; `others` are phrases that were found elsewhere."""
-    sent = spark.sparkContext.broadcast(data)
-
-    @F.arrow_udf("struct<sum:double,n:long>")
-    def run(column: pa.Array, others: pa.Array) -> pa.Array:
-        held = indexed(sent.value)
-        size, low, sums, counts = len(held["phrases"]) + len(held["keys"]), 0, [np.zeros(0)], [np.zeros(0, np.int64)]
-        for part in steps(column, size):
-            total, n = scores_of(held, part, others.slice(low, len(part)).to_pylist())
-            sums.append(total)
-            counts.append(n)
-            low += len(part)
-        return pa.StructArray.from_arrays([pa.array(np.concatenate(sums)), pa.array(np.concatenate(counts))], names=["sum", "n"])
-
-    return run(found, others)
